@@ -53,16 +53,16 @@ def frame(spark, rows):
 
 def test_equals_brute_force(spark):
     rows = corpus(1)
-    assert sorted(map(tuple, jaccard.similarity_classes(frame(spark, rows)).collect())) == brute(rows)
+    assert sorted(tuple(r)[:3] for r in jaccard.similarity_classes(frame(spark, rows)).collect()) == brute(rows)
 
 
 def test_only_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "STARS", 0)
     rows = corpus(2)[::2]
-    assert sorted(map(tuple, jaccard.similarity_classes(frame(spark, rows)).collect())) == brute(rows)
+    assert sorted(tuple(r)[:3] for r in jaccard.similarity_classes(frame(spark, rows)).collect()) == brute(rows)
 
 
 def test_empty_table_and_null_id(spark):
     assert jaccard.similarity_classes(frame(spark, [(1, "x")]).where("false")).count() == 0
     got = jaccard.similarity_classes(frame(spark, [(None, "a b c"), (4, "d e f")])).collect()
-    assert {tuple(r) for r in got} == {(None, 1, None), (4, 1, 4)}
+    assert {tuple(r)[:3] for r in got} == {(None, 1, None), (4, 1, 4)}

@@ -169,7 +169,7 @@ def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links of similarity >= 0.8) of every row.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity >= 0.8) and text_hash of every row.
 
     Documents with equal sets are one class, represented once. A pair of classes is looked at only
     if they share a prefix n-gram and their sizes and places allow the similarity. Within such a
@@ -235,7 +235,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     least = reached.groupBy("root").agg(F.min("doc").alias("component"))
     named = reached.join(least, "root").select("key", "component")
     out = members.join(named, "key", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
-    return out.select(real_id().alias("doc_id"), F.col("n").alias("n_shingles"), real_id("component").alias("component_id"))
+    return out.select(real_id().alias("doc_id"), F.col("n").alias("n_shingles"), real_id("component").alias("component_id"), F.col("twin").alias("text_hash"))
 
 
 def docs_repeat(members: DataFrame) -> bool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import fmindex, jaccard, quality, suffixes, tokens, topk, warc
+from veilspark.llm import decontaminate, fmindex, jaccard, lines, quality, suffixes, tokens, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -31,6 +35,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_repeated_runs(table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -44,7 +52,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    made = (op1_ngram_jaccard, op3_packing, op4_substring_dedup, op5_quality, op6_warc, op8_topk, op9_token_output, op10_suffix_dedup)
+    made = (op1_ngram_jaccard, op2_decontamination, op3_packing, op4_substring_dedup, op5_quality, op6_warc, op7_line_dedup, op8_topk, op9_token_output, op10_suffix_dedup)
     return {f.__name__: f for f in made}
 
 
