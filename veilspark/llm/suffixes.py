@@ -28,61 +28,73 @@ BYTES = Unit(
 )
 
 
-def buckets(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix order, bucket pointer of each position) of the suffixes sorted by their first `depth` bytes.
+def buckets(text: np.ndarray, depth: int, room: np.ndarray | None = None) -> np.ndarray:
+    """Bucket pointer of each position: equal for suffixes with equal first `depth` bytes, and in their order.
 
     The first sort puts suffixes into buckets of equal q-grams; a bucket's pointer is the place of
     its first suffix. A bucket of several suffixes is refined by sorting it on the pointers of the
     positions that follow at the depth reached so far. Pointers are updated in place, so that each
-    round uses what the last one found and doubles the depth. Past the end stands the least pointer."""
+    round uses what the last one found and doubles the depth. Past the end stands the least pointer.
+    room: bytes from each position to where comparisons end; a position isn't refined beyond it."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(FIRST, np.uint8)]).astype(np.uint64)
     grams = np.zeros(n, np.uint64)
     for k in range(FIRST):
         grams = (grams << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(grams, kind="stable")
+    order = np.argsort(grams)
     pointer = np.empty(n + depth, np.int64)
     pointer[n:] = -1
-    head = np.flatnonzero(np.append(True, grams[order][1:] != grams[order][:-1]))
+    ranked = grams[order]
+    head = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
     pointer[order] = np.repeat(head, np.diff(np.append(head, n)))
     reached = FIRST
-    active = np.arange(n)  # places of the order whose bucket holds several suffixes
+    active = np.arange(n)  # places of the order that are still refined
     while reached < depth:
         step = min(reached, depth - reached)
+        if room is not None:
+            active = active[room[order[active]] >= reached + step]
         own = pointer[order[active]]
         size = np.diff(np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own)))
         active = active[np.repeat(size > 1, size)]
         if not len(active):
             break
         at = order[active]
-        own, later = pointer[at], pointer[at + step]
-        by = np.lexsort((later, own))
-        at, own, later = at[by], own[by], later[by]
+        key = pointer[at] * (n + 1) + pointer[at + step] + 1
+        by = np.argsort(key)
+        at, key = at[by], key[by]
         order[active] = at
-        fresh = np.append(True, (own[1:] != own[:-1]) | (later[1:] != later[:-1]))
-        head = np.flatnonzero(fresh)
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         pointer[at] = np.repeat(active[head], np.diff(np.append(head, len(at))))
         reached += step
-    return order, pointer[:n]
+    return pointer[:n]
 
 
 def search(bodies: list[bytes], windows: np.ndarray, doc: np.ndarray, start: np.ndarray) -> list[list[tuple[int, int]]]:
     """For each entry the ranges of bytes in windows of which an earlier place exists in the shard."""
+    given = np.lexsort((start, doc))
+    bodies, windows, doc, start = [bodies[k] for k in given], windows[given], doc[given], start[given]
     sizes = np.array([len(b) for b in bodies])
-    first = np.cumsum(sizes) - sizes
-    _, pointer = buckets(np.frombuffer(b"".join(bodies), np.uint8), LENGTH)
-    # One row per window; what the text holds beyond an entry's windows is only looked at through them.
+    ends = np.cumsum(sizes)
+    pointer = buckets(np.frombuffer(b"".join(bodies), np.uint8), LENGTH, np.repeat(ends, sizes) - np.arange(ends[-1]))
     count = windows.astype(np.int64)
     entry = np.repeat(np.arange(len(bodies)), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    bucket = pointer[first[entry] + offset]
+    bucket = pointer[(ends - sizes)[entry] + offset]
+    # One row per window. The windows of a document are apart, so that rows stand in order of place,
+    # but for those of several texts under one doc_id.
     when, at = doc[entry], start[entry] + offset
-    by = np.lexsort((at, when, bucket))
-    head = np.append(True, bucket[by][1:] != bucket[by][:-1])
-    least = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
-    hit = np.zeros(len(by), bool)
-    hit[by] = (when[least] < when[by]) | ((when[least] == when[by]) & (at[least] < at[by]))
-    return ranges(hit, entry, offset, len(bodies), LENGTH)
+    row = np.arange(len(bucket))
+    if ((when[1:] == when[:-1]) & (at[1:] < at[:-1])).any():
+        row = np.lexsort((at, when))
+    least = np.empty(len(pointer), np.int64)
+    least[bucket[row[::-1]]] = row[::-1]  # what is written last, the first row of its bucket, stays
+    least = least[bucket]
+    hit = (when[least] < when) | (at[least] < at)
+    found = ranges(hit, entry, offset, len(bodies), LENGTH)
+    out: list[list[tuple[int, int]]] = [[] for _ in bodies]
+    for k, spans in zip(given.tolist(), found):
+        out[k] = spans
+    return out
 
 
 def ranges(hit: np.ndarray, entry: np.ndarray, offset: np.ndarray, entries: int, length: int) -> list[list[tuple[int, int]]]:
