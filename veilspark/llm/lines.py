@@ -84,7 +84,8 @@ def deduplicated(docs: DataFrame, *columns: str) -> DataFrame:
     lines = scratch.save(line_table(rows), "lines")
     gone = scratch.save(repeated_lines(lines, scratch), "gone")
     scratch.drop("marks", "diagonals")
-    joined = rows.join(gone, ["doc", "twin"], "left")
+    # Merged at every size: the text side never depends on whether the other would fit a broadcast.
+    joined = rows.join(gone.hint("merge"), ["doc", "twin"], "left")
     changed = F.col("gone").isNotNull()
     n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: trimmed(x) != "")).cast("long")
     return joined.select(
