@@ -237,5 +237,12 @@ def python(regex: str, flags: int = 0) -> re.Pattern:
     return re.compile(spaced(regex), flags | re.ASCII)
 
 
-def java(regex: str) -> str:
+def java(pattern: Pattern) -> str:
+    """The pattern for Spark. Where a boundary can only have a word character on its inner side, half of the look-around is enough."""
+    regex = pattern.regex
+    if pattern.kind != "ORGANIZATION":
+        if regex.startswith(r"\b") and pattern.name != "email":
+            regex = "(?<![A-Za-z0-9_])" + regex[2:]
+        if regex.endswith(r"\b"):
+            regex = regex[:-2] + "(?![A-Za-z0-9_])"
     return regex.replace(r"\b", JAVA_BOUNDARY)

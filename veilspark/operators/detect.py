@@ -79,7 +79,7 @@ def matches(text: Column, pattern: registry.Pattern) -> Column:
 
     Spark gives matches without places. The pieces between them give the rest: a match begins after all
     pieces and matches before it. Texts without the pattern's first look are never split."""
-    regex = registry.java(pattern.regex)
+    regex = registry.java(pattern)
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     pieces = F.split(text, regex, -1)
     both = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("gap"), found.alias("hit"))
