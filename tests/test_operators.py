@@ -243,3 +243,31 @@ def test_entry_and_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_properties_and_html():
+    package = files.write_docx("HEADING\na < b")
+    marked = files.with_properties(files.with_properties(package, {"session_id": "s1"}), {"session_id": "s2", "source_hash": "sha256:x"})
+    assert files.custom_properties(package) == {} and files.custom_properties(marked) == {"session_id": "s2", "source_hash": "sha256:x"}
+    assert files.docx_text(marked) == files.docx_text(package) and files.docx_html(package) == "<h1>HEADING</h1><p>a &lt; b</p>"
+
+
+def test_store(spark, tmp_path):
+    from veilspark.api import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id string, ord long, text string")
+    sid, out = store.anonymize(frame([("a", 0, BATCH[0])]), "sess_1")
+    assert "<ORG_1>" in out.first().anonymized_text
+    store.anonymize(frame([("b", 1, BATCH[1]), ("c", 2, BATCH[2])]), sid)
+    texts = {r.doc_id: r.anonymized_text for r in store.documents(sid).collect()}
+    assert set(texts) == {"a", "b", "c"} and "<ORG_1a>" in texts["b"] and "<US_SSN_1>" in texts["c"]
+    assert {r.restored_text for r in store.deanonymize(store.documents(sid)).collect()} == set(BATCH)
+    assert store.verify(sid).count() == 0 and store.latest() == sid and store.resolve("sess") == ("found", sid)
+    assert store.sessions().first().documents == 3 and store.show(sid).count() == 3 and store.expired().count() == 0
+    overrides = spark.createDataFrame([("a", ([0], [("John Smith", "PERSON", None, None)]))], f"doc_id string, overrides {review.OVERRIDES}")
+    fixed = {r.doc_id: r for r in store.apply_review(sid, overrides).collect()}
+    assert fixed["a"].anonymized_text == "<PERSON_1> works at Acme Corp. His email is <EMAIL_1> and SSN <US_SSN_1>." and fixed["a"].approved and not fixed["b"].approved
+    other = Store(spark, str(tmp_path / "other"))
+    assert other.import_(store.export(sid, "secret"), "secret") == sid
+    assert other.mapping(sid).count() == store.mapping(sid).count() and "raw" not in other.mapping(sid).columns

@@ -176,6 +176,59 @@ def write_docx(text: str) -> bytes:
     return out.getvalue()
 
 
+def docx_html(package: bytes) -> str:
+    """Paragraphs with bold, italic and underlined runs, and headings of four levels."""
+    from html import escape
+
+    out = []
+    for p in paragraphs(parts(package)["word/document.xml"]):
+        style = p.find(f"{W}pPr/{W}pStyle")
+        level = re.search(r"[1-4]$", style.get(f"{W}val", "") if style is not None else "")
+        body = []
+        for run in p.iter(f"{W}r"):
+            text = escape("".join(run_text(e) for e in run if e.tag in (f"{W}t", f"{W}tab", f"{W}br")))
+            for mark in ("b", "i", "u"):
+                if text and run.find(f"{W}rPr/{W}{mark}") is not None:
+                    text = f"<{mark}>{text}</{mark}>"
+            body.append(text)
+        name = f"h{level[0]}" if level else "p"
+        out.append(f"<{name}>{''.join(body)}</{name}>")
+    return "".join(out)
+
+
+CUSTOM = "docProps/custom.xml"
+CUSTOM_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/custom-properties}"
+VT = "{http://schemas.openxmlformats.org/officeDocument/2006/docPropsVTypes}"
+
+
+def custom_properties(package: bytes) -> dict[str, str]:
+    """Properties that travel with a package, as the session it belongs to."""
+    with zipfile.ZipFile(io.BytesIO(package)) as z:
+        if CUSTOM not in z.namelist():
+            return {}
+        return {p.get("name"): "".join(p.itertext()) for p in ET.fromstring(z.read(CUSTOM)).iter(f"{CUSTOM_NS}property")}
+
+
+def with_properties(package: bytes, values: dict[str, str]) -> bytes:
+    """The package with these properties added to or in place of its own."""
+    root = ET.Element(f"{CUSTOM_NS}Properties")
+    for k, (name, value) in enumerate((custom_properties(package) | values).items(), 2):
+        entry = ET.SubElement(root, f"{CUSTOM_NS}property", {"fmtid": "{D5CDD505-2E9C-101B-9397-08002B2CF9AE}", "pid": str(k), "name": name})
+        ET.SubElement(entry, f"{VT}lpwstr").text = value
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(package)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
+        for item in z.infolist():
+            data = z.read(item.filename)
+            if item.filename == "[Content_Types].xml" and CUSTOM.encode() not in data:
+                data = data.replace(b"</Types>", b'<Override PartName="/docProps/custom.xml" ContentType="application/vnd.openxmlformats-officedocument.custom-properties+xml"/></Types>')
+            if item.filename == "_rels/.rels" and CUSTOM.encode() not in data:
+                data = data.replace(b"</Relationships>", b'<Relationship Id="rIdCustom" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/custom-properties" Target="docProps/custom.xml"/></Relationships>')
+            if item.filename != CUSTOM:
+                to.writestr(item, data)
+        to.writestr(CUSTOM, ET.tostring(root, encoding="UTF-8", xml_declaration=True))
+    return out.getvalue()
+
+
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """One row a package: path, source_hash, content and text; text is null where the package can't be read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
