@@ -9,20 +9,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import Scratch, WordHashes, batched, real_id
+from veilspark.llm.common import Scratch, batched, real_id, word_hashes
 from veilspark.llm.repeats import Unit, covered, mask_of
 
 #: Words of a repeat and of the grams that key a window.
 LENGTH, GRAM = 50, 8
 
-_words = WordHashes()
+
+def split_words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").split()
+
+
+def hash_words(words: list[bytes]) -> np.ndarray:
+    return word_hashes.array(words)
+
+
+def cut_words(words: list[bytes], a: int, b: int) -> bytes:
+    return b" ".join(words[a:b])
+
 
 WORDS = Unit(
     length=LENGTH,
     gram=GRAM,
-    split=lambda text: text.encode("utf-8", "replace").split(),
-    hashes=lambda words: _words.array(words),
-    cut=lambda words, a, b: b" ".join(words[a:b]),
+    split=split_words,
+    hashes=hash_words,
+    cut=cut_words,
     inside=False,
     shard_bytes=1 << 20,
 )
@@ -191,5 +202,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         yield from batched(made(), schema, 1_000)
 
-    out = rows.join(spans, ["doc", "twin"], "left").select("doc", "text", "spans").mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = rows.join(spans.hint("merge"), ["doc", "twin"], "left").select("doc", "text", "spans").mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.select(real_id().alias("doc_id"), *[F.col(c) for c in out.columns if c != "doc"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import Scratch, batched, keyed, mix
+from veilspark.llm.common import Scratch, batched, keyed, mix, unique_ids
 
 #: Pieces are cut after so many windows of one key, so that monotonous text makes no unbounded piece.
 LONGEST = 400
@@ -113,7 +113,7 @@ def pieces(hashes: np.ndarray, sizes: np.ndarray, length: int, gram: int, inside
     return key, who, start - (ends - sizes)[who], count, content, again
 
 
-def fingerprints(rows: DataFrame, unit: Unit, block: int = 1 << 19) -> DataFrame:
+def fingerprints(rows: DataFrame, unit: Unit, block: int = 1 << 18) -> DataFrame:
     """Every piece: key, doc, twin, start, windows, content, again."""
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("content", pa.int64()), ("again", pa.bool_())])
 
@@ -161,7 +161,7 @@ def contents(texts: DataFrame, entries: DataFrame, unit: Unit) -> DataFrame:
 
         yield from batched(rows(), schema, 5_000)
 
-    return texts.join(wanted, ["doc", "twin"]).select("doc", "text", "wanted").mapInArrow(run, "key long, content long, windows int, doc long, start long, body binary")
+    return texts.join(wanted.hint("merge"), ["doc", "twin"]).select("doc", "text", "wanted").mapInArrow(run, "key long, content long, windows int, doc long, start long, body binary")
 
 
 def covered(docs: DataFrame, unit: Unit, search: Callable, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +169,8 @@ def covered(docs: DataFrame, unit: Unit, search: Callable, scratch: Scratch) ->
 
     search(entries) gets one shard's entries as (body, windows, doc, start) lists and returns for
     each the ranges of units that are covered by a window that also starts earlier than its entry."""
-    rows = keyed(docs)
+    unique = unique_ids(docs)
+    rows = keyed(docs, unique=unique)
     found = fingerprints(rows, unit)
     found = scratch.save(found, "pieces")
     apart = F.count("*") > 1 if unit.inside else F.min("doc") < F.max("doc")
@@ -178,7 +179,7 @@ def covered(docs: DataFrame, unit: Unit, search: Callable, scratch: Scratch) ->
     scratch.drop("pieces")
     entries = places.groupBy("key", "content", "windows").agg(F.min(F.struct("doc", "start", "twin")).alias("first"), F.count("*").alias("copies"))
     entries = scratch.save(entries.select("key", "content", "windows", "first.doc", "first.start", "first.twin", "copies"), "entries")
-    texts = rows.dropDuplicates(["doc", "twin"]) if repeated(rows) else rows
+    texts = rows if unique else rows.dropDuplicates(["doc", "twin"])
     bodies = scratch.save(contents(texts, entries.drop("copies"), unit), "bodies")
     total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(1, total // unit.shard_bytes)
@@ -205,10 +206,6 @@ def covered(docs: DataFrame, unit: Unit, search: Callable, scratch: Scratch) ->
     return rows, spans
 
 
-def repeated(rows: DataFrame) -> bool:
-    return not rows.groupBy("doc", "twin").count().where("count > 1").isEmpty()
-
-
 def mask_of(size: int, spans) -> np.ndarray:
     """Which of `size` units a document's spans cover."""
     edge = np.zeros(size + 1, np.int32)

@@ -17,12 +17,24 @@ LENGTH, GRAM, FIRST = 100, 16, 8
 
 _codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
+def split_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
+
+
+def hash_bytes(raw: bytes) -> np.ndarray:
+    return _codes[np.frombuffer(raw, np.uint8)]
+
+
+def cut_bytes(raw: bytes, a: int, b: int) -> bytes:
+    return raw[a:b]
+
+
 BYTES = Unit(
     length=LENGTH,
     gram=GRAM,
-    split=lambda text: text.encode("utf-8", "replace"),
-    hashes=lambda raw: _codes[np.frombuffer(raw, np.uint8)],
-    cut=lambda raw, a, b: raw[a:b],
+    split=split_bytes,
+    hashes=hash_bytes,
+    cut=cut_bytes,
     inside=True,
     shard_bytes=1 << 20,
 )
@@ -135,5 +147,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         yield from batched(made(), schema, 1_000)
 
-    out = rows.join(spans, ["doc", "twin"], "left").select("doc", "text", "spans").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = rows.join(spans.hint("merge"), ["doc", "twin"], "left").select("doc", "text", "spans").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(real_id().alias("doc_id"), *[F.col(c) for c in out.columns if c != "doc"])
