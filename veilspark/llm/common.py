@@ -28,12 +28,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Rows are whole documents here, so Arrow batches of fewer rows than the default keep workers and executors small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Written tables that cut lineage. Each name is a Parquet folder below one shared folder;
     a table that is no longer needed is dropped so that disk holds little more than the live ones."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        small_batches(spark)
         self.base = f"{shared_root(spark)}/veilspark-{label}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
@@ -74,15 +82,20 @@ def put_file(uri: str, name: str, data: bytes) -> None:
     system.move(draft, posixpath.join(folder, name))
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc (doc_id, null first), twin (hash of the text) and text; null text is empty.
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether no doc_id stands in two rows; reads that column only."""
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, *more: str, unique: bool = False) -> DataFrame:
+    """doc (doc_id, null first), twin (hash of the text; 0 if doc_ids are known to be unique) and text; null text is empty.
 
     Rows that repeat a doc_id with another text stay apart; rows that repeat both are one
     document with several rows, and each row gets that document's result."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
-        F.xxhash64(text).alias("twin"),
+        (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("twin"),
         text.alias("text"),
         *more,
     )
@@ -92,10 +105,23 @@ def real_id(column: str = "doc"):
     return F.when(F.col(column) != NULL_ID, F.col(column))
 
 
+_caches: list = []
+
+
+def using(cache):
+    """This cache, with all other operators' caches of the worker emptied: a worker serves one stage after another."""
+    for other in _caches:
+        if other is not cache:
+            other.clear()
+    if not any(other is cache for other in _caches):
+        _caches.append(cache)
+    return cache
+
+
 class WordHashes(dict):
-    """Word bytes to 64-bit hash; frequent words are hashed once a worker. Holds at most LIMIT words."""
+    """Word bytes to 64-bit hash; frequent words are hashed once a worker. Holds at most LIMIT words, about 40 MB."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -104,9 +130,13 @@ class WordHashes(dict):
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:
+        using(self)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+word_hashes = WordHashes()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -158,9 +188,8 @@ def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
         linked = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = linked.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         turn += 1
-        found = scratch.save(small, f"{tag}-{turn}")
-        same = found.exceptAll(current).isEmpty() and found.count() == current.count()
+        current = scratch.save(small, f"{tag}-{turn}")
         scratch.drop(f"{tag}-{turn - 1}")
-        current = found
-        if same:
+        # Done once every edge ends in a node that begins none: all are stars around their smallest node.
+        if current.join(current.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import WordHashes, batched
+from veilspark.llm.common import batched, small_batches, word_hashes
 
 #: Numbers of hash buckets for words, of structure features and of latent factors.
 BUCKETS, STATS, FACTORS = 1 << 15, 18, 6
@@ -19,7 +19,6 @@ BUCKETS, STATS, FACTORS = 1 << 15, 18, 6
 SAMPLE = 6_000
 THRESHOLD = 0.3
 
-_words = WordHashes()
 _ends = re.compile(r"[.!?]")
 
 
@@ -37,7 +36,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     total = max(1, len(codes))
     marks = total - upper - lower - digit - wide - space
     sentence = len(_ends.findall(text))
-    hashed = _words.array(words)
+    hashed = word_hashes.array(words)
     distinct, counts = np.unique(hashed, return_counts=True)
     values = np.zeros(STATS)
     values[:] = [
@@ -121,6 +120,7 @@ def held_out():
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Learns from at most `sample` documents whose labels aren't held out; where a document's labels differ, the best counts."""
+    small_batches(docs.sparkSession)
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out())
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import NULL_ID, Scratch, batched, put_file, real_id
+from veilspark.llm.common import NULL_ID, Scratch, batched, put_file, real_id, using
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -42,7 +42,7 @@ class Encoder(dict):
     go to the tokenizer together, their ids parted at those that end a word. Frequent runs stay
     known: at LIMIT the later half, which is rarer, goes (about 100 MB)."""
 
-    LIMIT = 400_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -83,8 +83,13 @@ class Encoder(dict):
                 self.words[tail] = self.encode(tail)
             self[run] = self.words[word] + self.words[tail]
 
+    def clear(self) -> None:
+        super().clear()
+        self.words = {"": b""}
+
     def batch(self, texts: list[str | None], block: int = 1024):
         """The ids of each text."""
+        using(self)
         for at in range(0, len(texts), block):
             split = [(x or "").encode("utf-8", "replace").split() for x in texts[at : at + block]]
             self.learn(set().union(*split).difference(self))
