@@ -35,7 +35,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     docs = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = jaccard.similarity_classes(docs.select(*COLUMNS))
     others = found.where("n_shingles > 0 AND doc_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id", "text_hash").distinct()
-    return docs.join(others, ["doc_id", "text_hash"], "left_anti").dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
+    return docs.join(others.hint("merge"), ["doc_id", "text_hash"], "left_anti").dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

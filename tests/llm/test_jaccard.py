@@ -62,6 +62,14 @@ def test_only_pairs(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in jaccard.similarity_classes(frame(spark, rows)).collect()) == brute(rows)
 
 
+def test_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "STARS", 0)
+    monkeypatch.setattr(jaccard, "WIDE", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    rows = corpus(3)[::2]
+    assert sorted(tuple(r)[:3] for r in jaccard.similarity_classes(frame(spark, rows)).collect()) == brute(rows)
+
+
 def test_empty_table_and_null_id(spark):
     assert jaccard.similarity_classes(frame(spark, [(1, "x")]).where("false")).count() == 0
     got = jaccard.similarity_classes(frame(spark, [(None, "a b c"), (4, "d e f")])).collect()

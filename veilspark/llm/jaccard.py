@@ -6,19 +6,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import Scratch, WordHashes, batched, components, grams, keyed, mix, real_id
+from veilspark.llm.common import Scratch, batched, components, grams, keyed, mix, real_id, word_hashes
 
 #: Words a shingle has, the least similarity as a fraction, fragments of the global order.
 SHINGLE, SIMILAR, FRAGMENTS = 5, (80, 100), 8
 #: Cells of the table of n-gram frequencies: 16 MB whatever the corpus.
 CELLS, PARTS = 1 << 22, 64
 #: Rounds of stars before what is left is paired.
-STARS = 3
+STARS = 2
+#: An n-gram that surely stands in no more sets than this may be counted within one task.
+COLD = 100_000
+#: Buckets of more classes than WIDE are not paired row by row but in blocks of BLOCK by BLOCK.
+WIDE, BLOCK = 256, 2_048
 
-_words = WordHashes()
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -28,7 +31,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    return np.unique(grams(_words.array(words), size))
+    return np.unique(grams(word_hashes.array(words), size))
 
 
 def set_key(found: np.ndarray) -> bytes:
@@ -44,6 +47,7 @@ class Order:
 
     def __init__(self, counts: np.ndarray, fragments: int):
         self.classes = np.minimum(255, np.floor(4 * np.log2(1.0 + counts))).astype(np.uint8)
+        self.hot = int(4 * np.log2(1.0 + COLD))  # from this class on
         mass = np.bincount(self.classes, counts.astype(float), 256)
         bounds = np.concatenate([[0], np.cumsum(mass)])
         pivots = []
@@ -113,8 +117,8 @@ def count_table(described: DataFrame) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, order) -> DataFrame:
-    """The first n-grams of each set in the global order, with their places."""
-    schema = pa.schema([("gram", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+    """The first n-grams of each set in the global order, with their places; hot ones may stand in more than COLD sets."""
+    schema = pa.schema([("gram", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("hot", pa.bool_())])
 
     def run(batches):
         for batch in batches:
@@ -122,14 +126,15 @@ def prefixes(texts: DataFrame, order) -> DataFrame:
             for sid, text in zip(batch.column("sid").to_pylist(), batch.column("text")):
                 found = shingles(text.as_py())
                 own = order.value.sort(found)[0][: prefix_length(len(found))]
-                block.append((own.view(np.int64), np.full(len(own), sid), np.full(len(own), len(found), np.int32), np.arange(len(own), dtype=np.int32)))
+                hot = order.value.classes[own & np.uint64(CELLS - 1)] >= order.value.hot
+                block.append((own.view(np.int64), np.full(len(own), sid), np.full(len(own), len(found), np.int32), np.arange(len(own), dtype=np.int32), hot))
                 if len(block) >= 2_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*block)], schema=schema)
                     block = []
             if block:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*block)], schema=schema)
 
-    return texts.mapInArrow(run, "gram long, sid long, n int, at int")
+    return texts.mapInArrow(run, "gram long, sid long, n int, at int, hot boolean")
 
 
 def segments(texts: DataFrame, order) -> DataFrame:
@@ -163,11 +168,66 @@ def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs (a, b, n, m) that are similar: partial overlaps are counted in each fragment apart and summed up."""
     left = parts.select(F.col("sid").alias("a"), "fragment", F.col("grams").alias("left"))
     right = parts.select(F.col("sid").alias("b"), "fragment", F.col("grams").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n", "m", F.size(F.array_intersect("left", "right")).cast("long").alias("shared"))
+    partial = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "fragment"]).select("a", "b", "n", "m", F.size(F.array_intersect("left", "right")).cast("long").alias("shared"))
     total = partial.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared"))
     return total.where(F.col("shared") * SIMILAR[1] >= (F.col("n") + F.col("m") - F.col("shared")) * SIMILAR[0]).select("a", "b")
 
 
+def block_links(wide: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of wide buckets (gram, sid, c, n, many).
+
+    In each bucket every class outside its largest component is held against all classes of other
+    components, block by block: a task holds at most about BLOCK of either and counts their overlaps in each
+    fragment apart. It returns links that join two components it had not joined before, so that
+    what comes out grows with the number of components, and no pairs are made as rows."""
+    largest = wide.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+    blocks = F.ceil(F.col("many") / BLOCK).cast("long")
+    rows = wide.join(largest, "gram").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    members = rows.select("gram", F.col("own").alias("x"), other.alias("y"), F.lit(False).alias("asks"), "sid", "c", "n")
+    strays = rows.where("c <> main").select("gram", F.col("own").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x"), F.lit(True).alias("asks"), "sid", "c", "n")
+    sets = parts.groupBy("sid").agg(F.collect_list(F.struct("fragment", "grams")).alias("cuts"))
+    dealt = members.unionByName(strays.select(members.columns)).join(sets.hint("merge"), "sid")
+
+    def link(data):
+        asks = np.array(data.column("asks").to_pylist(), bool)
+        sid, c, n = (data.column(k).to_numpy() for k in ("sid", "c", "n"))
+        cuts = [{x["fragment"]: np.array(x["grams"], np.int64) for x in row} for row in data.column("cuts").to_pylist()]
+        askers = np.flatnonzero(asks)
+        index = {}
+        for f in range(FRAGMENTS):
+            held = [(k, cuts[r][f]) for k, r in enumerate(askers) if f in cuts[r]]
+            if held:
+                flat, owner = np.concatenate([g for _, g in held]), np.repeat([k for k, _ in held], [len(g) for _, g in held])
+                order = np.argsort(flat, kind="stable")
+                index[f] = flat[order], owner[order]
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for r in np.flatnonzero(~asks) if len(askers) else ():
+            shared = np.zeros(len(askers), np.int64)
+            for f, own in cuts[r].items():
+                if f in index:
+                    flat, owner = index[f]
+                    low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                    size = high - low
+                    shared += np.bincount(owner[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())], minlength=len(askers))
+            near = (c[askers] != c[r]) & (shared * SIMILAR[1] >= (n[askers] + n[r] - shared) * SIMILAR[0])
+            for k in askers[near]:
+                a, b = find(int(c[k])), find(int(c[r]))
+                if a != b:
+                    root[a] = b
+                    out.append((int(min(sid[k], sid[r])), int(max(sid[k], sid[r]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return dealt.groupBy("gram", "x", "y").applyInArrow(link, "a long, b long").distinct()
+
+
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity >= 0.8) and text_hash of every row.
 
@@ -194,27 +254,50 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     texts = texts.select("doc", "twin", "text")
 
     # Buckets of a prefix n-gram that at least two classes share.
-    every = scratch.save(prefixes(texts.join(classes.select("sid", "doc", "twin"), ["doc", "twin"]).select("sid", "text"), order), "prefixes")
-    shared = every.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1").select("gram")
-    bucket = scratch.save(every.join(shared, "gram"), "buckets")
+    every = scratch.save(prefixes(texts.join(classes.select("sid", "doc", "twin").hint("merge"), ["doc", "twin"]).select("sid", "text"), order), "prefixes")
+    # Counted in one shuffle where a bound is known; n-grams that may be hot are aggregated first and joined back.
+    cold = every.where("NOT hot").withColumn("many", F.count("*").over(Window.partitionBy("gram"))).where("many > 1").drop("many", "hot")
+    shared = every.where("hot").groupBy("gram").agg(F.count("*").alias("many")).where("many > 1").select("gram")
+    bucket = scratch.save(cold.unionByName(every.where("hot").drop("hot").join(shared, "gram")), "buckets")
     scratch.drop("prefixes")
-    wanted = bucket.select("sid").distinct().join(classes.select("sid", "doc", "twin"), "sid")
-    parts = scratch.save(segments(texts.join(wanted, ["doc", "twin"]).select("sid", "text"), order), "segments")
 
-    links = tested = roots = None
+    def have(parts: DataFrame | None, sids: DataFrame, name: str) -> DataFrame:
+        """parts with the segments of these classes too."""
+        missing = sids if parts is None else sids.join(parts.select("sid"), "sid", "left_anti")
+        wanted = scratch.save(missing.join(classes.select("sid", "doc", "twin"), "sid"), f"{name}-wanted")
+        if parts is None:  # many: merged at every size
+            return scratch.save(segments(texts.join(wanted.hint("merge"), ["doc", "twin"]).select("sid", "text"), order), name)
+        if wanted.isEmpty():
+            return parts
+        # Few, as a rule: the written table's size decides whether they are broadcast or the texts are shuffled again.
+        return parts.unionByName(scratch.save(segments(texts.join(wanted, ["doc", "twin"]).select("sid", "text"), order), name))
+
+    links = tested = roots = parts = None
     for turn in range(STARS + 1):
         if roots is None:
             placed = bucket.withColumn("c", F.col("sid"))
         else:
+            # Only buckets that still hold several components go on.
             placed = bucket.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root")
-            placed = scratch.save(placed, f"placed-{turn}")
-        spread = placed.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("c", "sid", "n", "at")).alias("first"), F.max(F.struct("c", "sid", "n", "at")).alias("final")).where("low < high")
-        last = turn == STARS or (turn > 0 and pairs_left(placed) <= 2 * placed.count() + 100_000)
+            mixed = placed.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("gram")
+            placed = bucket = scratch.save(placed.join(mixed, "gram"), f"placed-{turn}")
+            bucket = bucket.drop("c")
+        last = turn == STARS
+        # Each bucket's hub is another one by chance, so that whoever shares many buckets meets many hubs; at first it is
+        # the smallest, which all copies of a text have in common.
+        chance = F.col("sid") if turn == 0 else F.xxhash64("sid", "gram", F.lit(turn))
+        spread = placed.groupBy("gram").agg(F.min(F.struct(chance.alias("chance"), "c", "sid", "n", "at")).alias("hub"))
         if not last:
-            hubs = spread.select("gram", ("first" if turn % 2 == 0 else "final")).toDF("gram", "hub")
+            hubs = spread.select("gram", "hub")
             pairs = placed.join(hubs, "gram").where("c <> hub.c").select("sid", "n", "at", F.col("hub.sid").alias("other"), F.col("hub.n").alias("m"), F.col("hub.at").alias("on"))
         else:
-            open_ = placed.join(spread.select("gram"), "gram")
+            sized = placed.groupBy("gram").agg(F.count("*").alias("many"))
+            wide = scratch.save(placed.join(sized.where(F.col("many") > WIDE), "gram"), "wide")
+            if not wide.isEmpty():
+                parts = have(parts, wide.select("sid").distinct(), "segments-wide")
+                found = scratch.save(block_links(wide.select("gram", "sid", "c", "n", "many"), parts), "links-wide")
+                links = found if links is None else links.unionByName(found)
+            open_ = placed.join(sized.where(F.col("many") <= WIDE).select("gram"), "gram")
             right = open_.select("gram", F.col("sid").alias("other"), F.col("n").alias("m"), F.col("at").alias("on"), F.col("c").alias("oc"))
             pairs = open_.join(right, "gram").where("c < oc")
         pairs = pairs.where(possible("n", "m", "at", "on"))
@@ -223,13 +306,17 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{turn}")
+        needed = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"needed-{turn}")
+        parts = have(parts, needed, f"segments-{turn}")
         found = scratch.save(verified(pairs, parts), f"links-{turn}")
         links = found if links is None else links.unionByName(found)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        # What is joined already goes on as one edge a class.
         roots = components(scratch, links, f"components-{turn}")
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         if last:
             break
-    scratch.drop("segments", "buckets")
+    scratch.drop("buckets", *(f"{x}-{k}" for k in range(turn + 1) for x in ("segments", "placed", "pairs", "needed")))
 
     reached = classes.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = reached.groupBy("root").agg(F.min("doc").alias("component"))
@@ -240,10 +327,3 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
 def docs_repeat(members: DataFrame) -> bool:
     return not members.groupBy("doc", "twin").count().where("count > 1").isEmpty()
-
-
-def pairs_left(placed: DataFrame) -> int:
-    """How many pairs of different components share a bucket, counted without making them."""
-    own = placed.groupBy("gram", "c").agg(F.count("*").alias("k"))
-    total = own.groupBy("gram").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-    return total.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
