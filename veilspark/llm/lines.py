@@ -83,7 +83,7 @@ def deduplicated(docs: DataFrame, *columns: str) -> DataFrame:
     rows = keyed(docs, *[F.col(c) for c in columns])
     lines = scratch.save(line_table(rows), "lines")
     gone = scratch.save(repeated_lines(lines, scratch), "gone")
-    scratch.drop("marks", "diagonals")
+    scratch.drop("lines", "marks", "diagonals")
     # Merged at every size: the text side never depends on whether the other would fit a broadcast.
     joined = rows.join(gone.hint("merge"), ["doc", "twin"], "left")
     changed = F.col("gone").isNotNull()
