@@ -21,6 +21,8 @@ STARS = 2
 COLD = 100_000
 #: Buckets of more classes than WIDE are not paired row by row but in blocks of BLOCK by BLOCK.
 WIDE, BLOCK = 256, 2_048
+#: Rows of three numbers that may be broadcast: 12 MB.
+FEW = 500_000
 
 
 
@@ -265,12 +267,13 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         """parts with the segments of these classes too."""
         missing = sids if parts is None else sids.join(parts.select("sid"), "sid", "left_anti")
         wanted = scratch.save(missing.join(classes.select("sid", "doc", "twin"), "sid"), f"{name}-wanted")
-        if parts is None:  # many: merged at every size
-            return scratch.save(segments(texts.join(wanted.hint("merge"), ["doc", "twin"]).select("sid", "text"), order), name)
-        if wanted.isEmpty():
+        many = wanted.count()
+        if parts is not None and not many:
             return parts
-        # Few, as a rule: the written table's size decides whether they are broadcast or the texts are shuffled again.
-        return parts.unionByName(scratch.save(segments(texts.join(wanted, ["doc", "twin"]).select("sid", "text"), order), name))
+        # Up to a counted bound the wanted classes are broadcast; beyond it the texts are shuffled to them.
+        side = F.broadcast(wanted) if many <= FEW else wanted.hint("merge")
+        more = scratch.save(segments(texts.join(side, ["doc", "twin"]).select("sid", "text"), order), name)
+        return more if parts is None else parts.unionByName(more)
 
     links = tested = roots = parts = None
     for turn in range(STARS + 1):
