@@ -54,7 +54,7 @@ def test_decontamination(spark, stages):
     items = [(i, x) for i, x in index.items.items()]
     clean = []
     for i, t in pairs(before):
-        words = decontaminate.tokens(t)
+        words = index.codes.array(t)
         hit = any(
             decontaminate.edit_distance(x, words[s : s + len(x)], decontaminate.edits_allowed(len(x))) <= decontaminate.edits_allowed(len(x))
             for length, starts in index.windows(words)

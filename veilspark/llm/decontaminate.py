@@ -7,18 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import WordHashes, batched, grams, keyed, mix, real_id
+from veilspark.llm.common import batched, grams, keyed, mix, real_id, small_batches
+from veilspark.llm.repeats import INVERSE, ODD, powers
 
 #: An item is found in a window of its own length within EDITS[0] / EDITS[1] of its words in edits.
 EDITS = (1, 5)
 #: Items with fewer words are too common to count.
 LEAST_WORDS = 5
 #: Independent walks, samples of each, and places of a sample.
-WALKS, SAMPLES, PLACES = 4, 16, 3
+WALKS, SAMPLES, PLACES = 2, 16, 3
 #: Items and their words that a pass over the documents holds at once: what is broadcast is bounded by these.
 PASS_ITEMS, PASS_WORDS = 20_000, 2_000_000
 PAD = np.uint64(0)
@@ -26,21 +26,24 @@ PAD = np.uint64(0)
 _marks = re.compile(rb"[^0-9a-z\x80-\xff]+")
 
 
-class PlainWords(WordHashes):
-    """Hashes of lower-case words without ASCII marks; of a word of marks alone, of the marks."""
+def plain(word: bytes) -> bytes:
+    """A lower-case word without ASCII marks; a word of marks alone stays."""
+    return word if word.isalnum() else _marks.sub(b"", word) or word
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(_marks.sub(b"", word) or word) | 1
-        return value
+
+def tokens(text: str | None) -> list[bytes]:
+    return [plain(w) for w in (text or "").encode("utf-8", "replace").lower().split()]
 
 
-_words = PlainWords()
+class Codes(dict):
+    """Numbers of the words of a pass's items, from 2 on; 1 is any other word, which no item holds, and 0 parts documents."""
 
+    def __missing__(self, word: bytes) -> int:
+        return 1 if word.isalnum() else self.get(plain(word), 1)
 
-def tokens(text: str | None) -> np.ndarray:
-    return _words.array((text or "").encode("utf-8", "replace").lower().split())
+    def array(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode("utf-8", "replace").lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def edits_allowed(n: int) -> int:
@@ -55,10 +58,12 @@ def embed(text: np.ndarray, starts: np.ndarray, length: int, walk: int) -> np.nd
     walks meet again, so windows within few edits differ in few places. Past the end stands PAD."""
     out = np.empty((3 * length, len(starts)), np.uint64)
     at = np.zeros(len(starts), np.int64)
+    turn = np.random.default_rng([7, walk]).integers(0, 2**63, 3 * length, np.uint64) * np.uint64(2) + np.uint64(1)
     for step in range(3 * length):
         symbol = np.where(at < length, text[starts + np.minimum(at, length - 1)], PAD)
         out[step] = symbol
-        at += (mix(symbol ^ np.uint64(0x9E3779B97F4A7C15 * (step * WALKS + walk + 1) % 2**64)) & np.uint64(1)).astype(np.int64)
+        # The top bit of a product with an odd number of this step.
+        at += ((symbol * turn[step]) >> np.uint64(63)).astype(np.int64)
     return out
 
 
@@ -79,92 +84,156 @@ def signatures(text: np.ndarray, starts: np.ndarray, length: int, walk: int) ->
     return out
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Levenshtein distance of two sequences, or most + 1 if it is larger; only the band of width most is filled."""
-    n, m = len(a), len(b)
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Levenshtein distance of each row of a and the same row of b, or most + 1 where it is larger.
+
+    All pairs go through the rows of their tables together; only the band of width most is filled,
+    and pairs that are beyond it already leave."""
+    count, n = a.shape
+    m = b.shape[1]
+    out = np.full(count, most + 1)
     if abs(n - m) > most:
-        return most + 1
-    offsets = np.arange(-most, most + 1)
-    row = np.where(offsets >= 0, offsets, most + 1)
+        return out
+    offsets = np.arange(-most, most + 1, dtype=np.int16)
+    row = np.tile(np.where((offsets >= 0) & (offsets <= m), offsets, most + 1).astype(np.int16), (count, 1))
+    live = np.arange(count)
     for i in range(1, n + 1):
         at = i + offsets
         inside = (at >= 1) & (at <= m)
-        differ = np.ones(len(offsets), np.int64)
-        differ[inside] = b[at[inside] - 1] != a[i - 1]
-        best = np.minimum(row + differ, np.append(row[1:], most + 1) + 1)
-        best[~((at >= 0) & (at <= m))] = most + 1
-        best[at == 0] = i
+        best = row + np.int16(1)
+        best[:, inside] -= b[:, at[inside] - 1] == a[:, i - 1 : i]
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + np.int16(1))
+        best[:, ~((at >= 0) & (at <= m))] = most + 1
+        best[:, at == 0] = i
         # Insertions within the row: the least of best[j] + distance to the right.
-        row = np.minimum(np.minimum.accumulate(best - offsets) + offsets, most + 1)
-        if row.min() > most:
-            return most + 1
-    return int(row[m - n + most])
+        row = np.minimum(np.minimum.accumulate(best - offsets, axis=1) + offsets, np.int16(most + 1))
+        if i % 4 == 0 and len(live):
+            near = row.min(1) <= most
+            if not near.all():
+                a, b, row, live = a[near], b[near], row[near], live[near]
+    out[live] = row[:, m - n + most]
+    return out
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    return int(edit_distances(np.asarray(a)[None, :], np.asarray(b)[None, :], most)[0])
 
 
 @dataclass
 class Index:
     """What one pass looks for: items by length, with the sampled keys of each."""
 
+    codes: Codes
     items: dict[int, np.ndarray]
-    pairs: np.ndarray
+    #: For each length the ids and, row by row, the words of its items.
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]]
+    grams: dict[int, np.ndarray]
     keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
     lengths: list[int]
 
+    #: Windows whose embeddings are held at once, and pairs that are verified at once.
+    BLOCK = 8_192
+
     @classmethod
-    def build(cls, items: list[tuple[int, np.ndarray]]) -> Index:
+    def build(cls, found: list[tuple[int, list[bytes]]]) -> Index:
+        codes = Codes({w: k for k, w in enumerate(dict.fromkeys(w for _, words in found for w in words), 2)})
+        items = [(i, np.array([codes[w] for w in words], np.uint64)) for i, words in found]
         of = dict(items)
-        pairs = np.unique(np.concatenate([grams(x, 2) for _, x in items])) if items else np.zeros(0, np.uint64)
-        keys, lengths = {}, sorted({len(x) for _, x in items})
+        seen = {q: np.unique(np.concatenate([grams(x, q) for _, x in items])) for q in (2, 3)}
+        keys, by_length, lengths = {}, {}, sorted({len(x) for _, x in items})
         for length in lengths:
             ids = np.array([i for i, x in items if len(x) == length])
             text = np.concatenate([of[i] for i in ids])
             starts = np.arange(len(ids)) * length
             for walk in range(WALKS):
-                found = signatures(text, starts, length, walk)
-                flat, owner = found.ravel(), np.tile(ids, SAMPLES)
+                flat, owner = signatures(text, starts, length, walk).ravel(), np.tile(np.arange(len(ids)), SAMPLES)
                 order = np.argsort(flat, kind="stable")
                 keys[length, walk] = flat[order], owner[order]
-        return cls(of, pairs, keys, lengths)
+            by_length[length] = ids, text.reshape(len(ids), length)
+        return cls(codes, of, by_length, seen, keys, lengths)
 
     def windows(self, text: np.ndarray):
-        """(length, starts) of windows with enough pairs of neighbouring words that some item has.
+        """(length, starts) of windows with enough pairs and triples of neighbouring words that some item has.
 
-        k edits break at most 2 k of a window's pairs, so no window within the allowed edits is left out."""
-        if len(text) < LEAST_WORDS or not len(self.pairs):
+        k edits break at most 2 k of a window's pairs and 3 k of its triples, so no window within the
+        allowed edits is left out. No window runs over a 0, which parts documents."""
+        if len(text) < LEAST_WORDS:
             return
-        own = grams(text, 2)
-        place = np.minimum(np.searchsorted(self.pairs, own), len(self.pairs) - 1)
-        total = np.concatenate([[0], np.cumsum(self.pairs[place] == own)])
+        totals = {}
+        for q, known in self.grams.items():
+            own = grams(text, q)
+            hit = np.zeros(len(own), bool)
+            if len(known):
+                # A first look by the low bits spares most of the searches.
+                first = np.zeros(1 << 18, bool)
+                first[known & np.uint64((1 << 18) - 1)] = True
+                may = np.flatnonzero(first[own & np.uint64((1 << 18) - 1)])
+                hit[may] = known[np.minimum(np.searchsorted(known, own[may]), len(known) - 1)] == own[may]
+            totals[q] = np.concatenate([np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)])
+        parted = np.concatenate([np.zeros(1, np.int32), np.cumsum(text == 0, dtype=np.int32)])
         for length in self.lengths:
             if length > len(text):
                 break
-            need = length - 1 - 2 * edits_allowed(length)
-            starts = np.flatnonzero(total[length - 1 :] - total[: len(total) - length + 1] >= need)
+            many, most = len(text) - length + 1, edits_allowed(length)
+            starts = None
+            for q, total in sorted(totals.items(), reverse=True):  # the rarer first; the others only where it holds
+                need = length - q + 1 - q * most
+                if starts is None:
+                    starts = np.flatnonzero(total[length - q + 1 : length - q + 1 + many] - total[:many] >= need)
+                else:
+                    starts = starts[total[starts + length - q + 1] - total[starts] >= need]
+            starts = starts[parted[starts + length] == parted[starts]]
             if len(starts):
                 yield length, starts
 
-    def matches(self, text: np.ndarray) -> dict[int, tuple[int, int]]:
-        """item: (least distance, first word of such a window) of every item found in a document."""
-        found: dict[int, tuple[int, int]] = {}
-        for length, starts in self.windows(text):
-            tried: set[tuple[int, int]] = set()
-            most = edits_allowed(length)
-            for walk in range(WALKS):
-                sorted_keys, owner = self.keys[length, walk]
-                wanted = signatures(text, starts, length, walk)
-                low = np.searchsorted(sorted_keys, wanted, "left")
-                high = np.searchsorted(sorted_keys, wanted, "right")
-                for k, w in zip(*np.nonzero(low < high)):
-                    for item in set(owner[low[k, w] : high[k, w]].tolist()):
-                        start = int(starts[w])
-                        if (item, start) in tried or found.get(item, (1,))[0] == 0:
-                            continue
-                        tried.add((item, start))
-                        distance = edit_distance(self.items[item], text[start : start + length], most)
-                        if distance <= most:
-                            found[item] = min(found.get(item, (distance, start)), (distance, start))
+    def meetings(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of by_length, place in starts) of items and windows that share a sampled key, each once."""
+        out = []
+        for walk in range(WALKS):
+            known, owner = self.keys[length, walk]
+            wanted = signatures(text, starts, length, walk)
+            low, high = np.searchsorted(known, wanted, "left"), np.searchsorted(known, wanted, "right")
+            size = (high - low).ravel()
+            if size.any():
+                first = np.repeat(low.ravel() - np.cumsum(size) + size, size)
+                window = np.repeat(np.tile(np.arange(len(starts)), SAMPLES), size)
+                out.append(owner[first + np.arange(size.sum())] * len(starts) + window)
+        pairs = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        return pairs // len(starts), pairs % len(starts)
+
+    def search(self, texts: list[np.ndarray]) -> list[dict[int, tuple[int, int]]]:
+        """For each document, item: (least distance, first word of such a window) of every item found in it."""
+        found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+        if not texts:
+            return found
+        text = np.concatenate([part for x in texts for part in (x, np.zeros(1, np.uint64))])
+        begin = np.cumsum([0] + [len(x) + 1 for x in texts[:-1]])
+        odd, inverse = powers(ODD, len(text)), powers(INVERSE, len(text))
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text * odd)])
+        for length, windows in self.windows(text):
+            most, span = edits_allowed(length), np.arange(length)
+            # Equal windows, as monotonous texts are full of, are looked at once.
+            _, first, like = np.unique((prefix[windows + length] - prefix[windows]) * inverse[windows], return_index=True, return_inverse=True)
+            order = np.argsort(like, kind="stable")
+            bounds = np.searchsorted(like[order], np.arange(len(first) + 1))
+            for at in range(0, len(first), self.BLOCK):
+                starts = windows[first[at : at + self.BLOCK]]
+                rows, place = self.meetings(text, starts, length)
+                for k in range(0, len(rows), self.BLOCK):
+                    row, same = rows[k : k + self.BLOCK], place[k : k + self.BLOCK]
+                    where = starts[same]
+                    distance = edit_distances(self.by_length[length][1][row], text[where[:, None] + span], most)
+                    for hit in np.flatnonzero(distance <= most):
+                        item, group = int(self.by_length[length][0][row[hit]]), at + int(same[hit])
+                        for start in windows[order[bounds[group] : bounds[group + 1]]].tolist():
+                            doc = int(np.searchsorted(begin, start, "right")) - 1
+                            new = int(distance[hit]), start - int(begin[doc])
+                            found[doc][item] = min(found[doc].get(item, new), new)
         return found
 
+    def matches(self, text: np.ndarray) -> dict[int, tuple[int, int]]:
+        return self.search([text])[0]
+
 
 def passes(benchmark: DataFrame):
     """Items in groups of bounded size, in order of item_id; the driver holds one group at a time."""
@@ -191,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are lower-cased and freed of ASCII marks. An item counts as found where a window of as
     many words as it has is within a fifth of them in word edits. Windows are compared through WALKS
     embeddings with SAMPLES samples of PLACES places: at an embedded distance of one half a pair
-    meets with probability 1 - (1 - 2^-3)^64 > 0.999; equal windows always meet. Every meeting is
+    meets with probability 1 - (1 - 2^-3)^32 > 0.98; equal windows always meet. Every meeting is
     verified. Where several windows match, the closest and then the first counts.
 
     A benchmark of more than PASS_ITEMS items or PASS_WORDS words is searched in several passes.
@@ -200,6 +269,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are reported as often as they occur; without documents or items there are no rows; other
     columns are ignored."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = keyed(docs).select("doc", "text")
     schema = pa.schema([("doc", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("n_words", pa.int32())])
     out = None
@@ -209,8 +279,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, known=known):
             def found():
                 for batch in batches:
-                    for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                        for item, (distance, start) in sorted(known.value.matches(tokens(text.as_py())).items()):
+                    texts = [known.value.codes.array(x.as_py()) for x in batch.column("text")]
+                    for doc, hits in zip(batch.column("doc").to_pylist(), known.value.search(texts)):
+                        for item, (distance, start) in sorted(hits.items()):
                             yield doc, item, distance, start, len(known.value.items[item])
 
             yield from batched(found(), schema)
@@ -227,13 +298,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     As contaminated() in every case; null and empty texts stay."""
     spark = docs.sparkSession
+    small_batches(spark)
     for index in passes(benchmark):
         known = spark.sparkContext.broadcast(index)
 
         def run(batches, known=known):
             for batch in batches:
-                clean = [not known.value.matches(tokens(x.as_py())) for x in batch.column("text")]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                hits = known.value.search([known.value.codes.array(x.as_py()) for x in batch.column("text")])
+                yield batch.filter(pa.array([not x for x in hits], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
