@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import Scratch, keyed, real_id
@@ -29,38 +29,38 @@ def window_minima(hashes: Column) -> Column:
     return F.when(count > 0, F.array_distinct(chosen))
 
 
-def diagonals(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct (doc, twin, other, other_twin, shift): a later document's fingerprint meets its first place,
-    `shift` lines further in the later document than there.
-
-    The first place of each fingerprint is aggregated and joined back, so a passage that a third
-    of all documents hold costs one row a document, not a pair of documents."""
+def shared_marks(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, twin, marks): places of each document's fingerprints that stand elsewhere too."""
     marks = lines.select("doc", "twin", F.explode(window_minima(F.col("hashes"))).alias("m")).select("doc", "twin", F.col("m.gram").alias("gram"), (-F.col("m.back")).alias("at"))
     marks = scratch.save(marks, "marks")
-    first = marks.groupBy("gram").agg(F.min(F.struct("doc", "twin", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    meet = marks.join(first, "gram").where(F.struct("doc", "twin", "at") > F.col("first"))
-    found = meet.select("doc", "twin", F.col("first.doc").alias("other"), F.col("first.twin").alias("other_twin"), (F.col("at") - F.col("first.at")).alias("shift"))
-    return found.where("NOT (doc = other AND twin <> other_twin)").distinct()
+    shared = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return marks.join(shared, "gram").groupBy("doc", "twin").agg(F.collect_set("at").alias("marks"))
+
+
+def pieces(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(run, doc, twin, at): runs of SHORTEST lines around shared fingerprints, as their line hashes, with all their places in a document.
+
+    Equal runs have their least gram at the same place, so a run that stands twice is found from either."""
+    here = lines.dropDuplicates(["doc", "twin"])
+    both = here.join(shared_marks(lines, scratch), ["doc", "twin"])
+    around = F.flatten(F.transform("marks", lambda m: F.sequence(F.greatest(m - (SHORTEST - GRAM), F.lit(0)), F.least(m, F.size("hashes") - SHORTEST))))
+    begins = F.array_distinct(around)
+    found = both.where(F.size("hashes") >= SHORTEST).select("doc", "twin", F.explode(F.transform(begins, lambda i: F.struct(F.slice("hashes", i + 1, SHORTEST).alias("run"), i.alias("at")))).alias("p"))
+    return found.select(F.col("p.run").alias("run"), "doc", "twin", F.col("p.at").alias("at")).groupBy("run", "doc", "twin").agg(F.collect_set("at").alias("at"))
 
 
 def repeated_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, twin, gone): places of each document's lines that are in a later run.
 
-    Along each diagonal the match is extended both ways: the places where the two documents agree
-    are found, runs of agreeing places are formed, and those of at least SHORTEST lines are later
-    repeats. Within one document a run goes where it repeats an earlier one of the same document."""
-    diagonal = scratch.save(diagonals(lines, scratch), "diagonals")
-    there = lines.select(F.col("doc").alias("other"), F.col("twin").alias("other_twin"), F.col("hashes").alias("earlier")).dropDuplicates(["other", "other_twin"])
-    here = lines.dropDuplicates(["doc", "twin"])
-    both = diagonal.join(there, ["other", "other_twin"]).join(here, ["doc", "twin"])
-    low = F.greatest(F.col("shift"), F.lit(0))
-    high = F.least(F.size("hashes"), F.size("earlier") + F.col("shift")) - 1
-    equal = F.filter(F.sequence(low, high), lambda i: F.element_at("hashes", i + 1) == F.element_at("earlier", i - F.col("shift") + 1))
-    agree = both.where(low <= high).select("doc", "twin", "other", "other_twin", "shift", F.explode(equal).alias("at"))
-    on = Window.partitionBy("doc", "twin", "other", "other_twin", "shift").orderBy("at")
-    runs = agree.withColumn("run", F.col("at") - F.row_number().over(on))
-    whole = Window.partitionBy("doc", "twin", "other", "other_twin", "shift", "run")
-    gone = runs.withColumn("n", F.count("*").over(whole)).where(F.col("n") >= SHORTEST).select("doc", "twin", "at").distinct()
+    A run of more than SHORTEST lines is the union of its runs of SHORTEST lines, so it is enough to
+    know for each of these whether it stood earlier: in a smaller doc, or before in the same document.
+    The smallest doc of each run is aggregated and joined back, so a passage that a third of all
+    documents hold costs one row a document, not a pair of documents."""
+    found = scratch.save(pieces(lines, scratch), "pieces")
+    first = found.groupBy("run").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    joined = found.join(first, "run", "left")
+    later = F.when(F.col("first") < F.col("doc"), F.col("at")).otherwise(F.array_except("at", F.array(F.array_min("at"))))
+    gone = joined.select("doc", "twin", F.explode(F.flatten(F.transform(later, lambda i: F.sequence(i, i + F.size("run") - 1)))).alias("at"))
     return gone.groupBy("doc", "twin").agg(F.collect_set("at").alias("gone"))
 
 
@@ -83,7 +83,7 @@ def deduplicated(docs: DataFrame, *columns: str) -> DataFrame:
     rows = keyed(docs, *[F.col(c) for c in columns])
     lines = scratch.save(line_table(rows), "lines")
     gone = scratch.save(repeated_lines(lines, scratch), "gone")
-    scratch.drop("lines", "marks", "diagonals")
+    scratch.drop("lines", "marks", "pieces")
     # Merged at every size: the text side never depends on whether the other would fit a broadcast.
     joined = rows.join(gone.hint("merge"), ["doc", "twin"], "left")
     changed = F.col("gone").isNotNull()
@@ -102,10 +102,10 @@ def remove_repeated_runs(docs: DataFrame) -> DataFrame:
 
     A line is trimmed of ASCII white space; lines without anything else are never counted nor
     removed. Grams of GRAM lines are hashed and the minima of windows of WINDOW grams are a
-    document's fingerprints. Where a fingerprint stood first (smaller doc_id, null smallest; then the
-    earlier line) the documents are compared line by line along that diagonal, and every run of at
-    least SHORTEST agreeing lines is deleted from the later place. Whatever runs of SHORTEST lines
-    have one fingerprint at least, so none that repeats the fingerprint's first place is missed.
+    document's fingerprints. Every run of at least SHORTEST lines that stood earlier (in any document
+    with a smaller doc_id, null smallest; or before in the same document, where the two may overlap) is
+    deleted. Whatever runs of SHORTEST lines have one fingerprint at least, and each run of SHORTEST
+    lines around a fingerprint is compared with the first place of that very run, so none is missed.
 
     Null and empty texts have no lines; rows that repeat a doc_id and text are one document and get the
     same result; rows that repeat a doc_id with other texts are not compared; texts with fewer lines
