@@ -45,3 +45,12 @@ def test_equals_whole_brute_force(spark):
     rnd = random.Random(4)
     rows = [(rnd.randint(0, 60), "\n".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12)))) for _ in range(120)]
     assert removed(spark, rows) == whole(rows)
+
+
+def test_short_runs_of_many_words_go(spark):
+    many, half, rest = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("m", lines.LONG), ("h", lines.LONG // 2), ("r", lines.LONG - lines.LONG // 2)))
+    few = many.rpartition(" ")[0]
+    rows = [(1, f"a\n{many}\nb\n{few}"), (2, f"c\n {many}\nd"), (3, many), (4, f"{half}\n{rest}"), (5, f"e\n{half}\n\n{rest}\nf"), (6, f"{half}\ng\n{rest}"), (7, f"{few}\nh"), (8, f"a\n{many}"), (9, f"i\n{rest}\n{half}\n{rest}"), (9, f"{half}\n{rest}")]
+    left = [(1, rows[0][1]), (2, "c\nd"), (3, ""), (4, rows[3][1]), (5, "e\n\nf"), (6, rows[5][1]), (7, rows[6][1]), (8, ""), (9, f"i\n{rest}"), (9, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r.doc_id, r.text) for r in lines.remove_repeated_runs(frame).collect()) == sorted(left)
