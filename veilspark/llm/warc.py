@@ -66,7 +66,9 @@ def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """Headers, block and end of the record that starts here; Damaged where a check fails."""
     if not data.startswith(b"WARC/1.", at):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at, at + 65_536)
+    # As long as they are, up to the next version line.
+    following = data.find(b"\nWARC/1.", at)
+    end = data.find(b"\r\n\r\n", at, following if following >= 0 else len(data))
     if end < 0:
         raise Damaged("headers do not end")
     headers = {}
@@ -242,8 +244,8 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload; a null page_id is written without an id, never is an original
     while its payload has another id, and comes back as null; rows that repeat the smallest page_id
-    are responses all; a url's control characters are escaped; an empty table gives no rows; other
-    columns are ignored."""
+    are responses all; a url's control characters are escaped and it may have any length; a gap in the
+    archives is an error; an empty table gives no rows; other columns are ignored."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -251,4 +253,7 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     scratch.release()
     if not written:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_warc(spark, scratch.path("archives")).where("status = 'record'").select(*columns)
+    found = read_warc(spark, scratch.path("archives"))
+    # What was written here is whole, so a gap is an error and no row is left out.
+    lost = F.raise_error(F.concat_ws(" ", F.lit("a gap in"), "file", F.lit("from"), "gap_start", F.lit("to"), "gap_end", F.lit(":"), "reason"))
+    return found.where(F.when(F.col("status") == "record", True).otherwise(lost.cast("boolean"))).select(*columns)
