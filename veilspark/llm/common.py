@@ -118,25 +118,6 @@ def using(cache):
     return cache
 
 
-class WordHashes(dict):
-    """Word bytes to 64-bit hash; frequent words are hashed once a worker. Holds at most LIMIT words, about 40 MB."""
-
-    LIMIT = 250_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        using(self)
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-word_hashes = WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -144,6 +125,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+ODD = 0x9E3779B97F4A7C15
+INVERSE = pow(ODD, -1, 2**64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    if len(_powers.get(base, ())) < n:
+        x = np.full(max(n, 1 << 16), base, np.uint64)
+        x[0] = 1
+        _powers[base] = np.cumprod(x)
+    return _powers[base][:n]
+
+
+#: A random number for each byte; in FOLDED capital letters have those of small ones.
+CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD))
+FOLDED = CODES.copy()
+FOLDED[65:91] = CODES[97:123]
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Longer words are hashed one by one: sums of powers could be made to collide there.
+LONG_WORD = 64
+
+
+def text_blocks(column: pa.Array, size: int = 1 << 18):
+    """The texts of a column by groups of about `size` bytes, as (bytes in a row, where each text begins, and the end); null is empty."""
+    if column.null_count:
+        column = column.fill_null("")
+    wide = "<i8" if pa.types.is_large_string(column.type) else "<i4"
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, wide, len(column) + 1, column.offset * int(wide[2])).astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    k = 0
+    while k < len(column):
+        end = max(k + 1, int(np.searchsorted(bounds, bounds[k] + size, "right")) - 1)
+        yield raw[bounds[k] : bounds[end]], bounds[k : end + 1] - bounds[k]
+        k = end
+
+
+def one_text(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, codes: np.ndarray = CODES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a row, and the number of words of each text.
+
+    Words are runs of other than ASCII white space; no word runs over a text's end. A word's hash is
+    a sum over its bytes of their codes times powers, taken from sums over the whole row."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
+    word = ~SPACE[data]
+    inner = bounds[1:-1]
+    inner = inner[(inner > 0) & (inner < n)]
+    begin, stop = word.copy(), word.copy()
+    begin[1:] &= ~word[:-1]
+    begin[inner] = word[inner]
+    stop[:-1] &= ~word[1:]
+    stop[inner - 1] = word[inner - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(codes[data] * powers(ODD, n), out=sums[1:])
+    found = mix((sums[ends] - sums[starts]) * powers(INVERSE, n)[starts])
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        found[k] = xxhash.xxh3_64_intdigest(codes[data[starts[k] : ends[k]]].tobytes())
+    return found, np.diff(np.searchsorted(starts, bounds))
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams of a sequence of hashes, order-sensitive."""
     count = len(hashes) - n + 1

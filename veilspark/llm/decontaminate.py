@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import batched, grams, keyed, mix, real_id, small_batches
-from veilspark.llm.repeats import INVERSE, ODD, powers
+from veilspark.llm.common import INVERSE, ODD, batched, grams, keyed, mix, powers, real_id, small_batches
 
 #: An item is found in a window of its own length within EDITS[0] / EDITS[1] of its words in edits.
 EDITS = (1, 5)

@@ -20,10 +20,6 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").split()
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return word_hashes.array(words)
-
-
 def cut_words(words: list[bytes], a: int, b: int) -> bytes:
     return b" ".join(words[a:b])
 
@@ -32,7 +28,7 @@ WORDS = Unit(
     length=LENGTH,
     gram=GRAM,
     split=split_words,
-    hashes=hash_words,
+    hashes=word_hashes,
     cut=cut_words,
     inside=False,
     shard_bytes=1 << 20,

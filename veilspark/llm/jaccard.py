@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import Scratch, batched, components, grams, keyed, mix, real_id, word_hashes
+from veilspark.llm.common import FOLDED, Scratch, batched, components, grams, keyed, mix, real_id, text_blocks, unique_ids, word_hashes
 
 #: Words a shingle has, the least similarity as a fraction, fragments of the global order.
 SHINGLE, SIMILAR, FRAGMENTS = 5, (80, 100), 8
-#: Cells of the table of n-gram frequencies: 16 MB whatever the corpus.
+#: Cells of the table of n-gram frequencies: 16 MB whatever the corpus, gathered in PARTS.
 CELLS, PARTS = 1 << 22, 64
+#: Bits of the filter of wanted documents: 4 MB whatever the corpus.
+FILTER_BITS = 1 << 25
 #: Rounds of stars before what is left is paired.
 STARS = 2
 #: An n-gram that surely stands in no more sets than this may be counted within one task.
 COLD = 100_000
+#: Prefix n-grams that a task holds before it deals them out.
+HELD = 400_000
 #: Buckets of more classes than WIDE are not paired row by row but in blocks of BLOCK by BLOCK.
 WIDE, BLOCK = 256, 2_048
-#: Rows of three numbers that may be broadcast: 12 MB.
-FEW = 500_000
+#: Bits of a fragment's sketch: at least as many as it has n-grams, within these bounds.
+SKETCH = 6, 15
+
 
+def shingle_sets(texts: pa.Array, size: int = SHINGLE):
+    """For each text the sorted distinct 64-bit hashes of its shingles; with fewer words the whole sequence is one shingle."""
+    for data, bounds in text_blocks(texts):
+        hashed, counts = word_hashes(data, bounds, FOLDED)
+        every = grams(hashed, size)
+        first = 0
+        for n in counts.tolist():
+            if n >= size:
+                own = np.sort(every[first : first + n - size + 1])
+                yield own[np.append(True, own[1:] != own[:-1])]
+            else:
+                yield grams(hashed[first : first + n], n) if n else hashed[:0]
+            first += n
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; with fewer words the whole sequence is one shingle."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    return np.unique(grams(word_hashes.array(words), size))
+    return next(shingle_sets(pa.array([text or ""]), size))
 
 
 def set_key(found: np.ndarray) -> bytes:
@@ -64,9 +79,10 @@ class Order:
         return (self.classes[found & np.uint64(CELLS - 1)].astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8))
 
     def sort(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams in order, and the places where its fragments begin, with the end."""
         keys = self.keys(found)
-        at = np.lexsort((found, keys))
-        return found[at], np.searchsorted(self.pivots, keys[at], "right")
+        at = np.argsort(keys, kind="stable")  # found is sorted, so that equal keys stand by hash
+        return found[at], np.concatenate([[0], np.searchsorted(keys[at], self.pivots, "left"), [len(found)]])
 
 
 def prefix_length(n: int) -> int:
@@ -74,88 +90,244 @@ def prefix_length(n: int) -> int:
     return n - (SIMILAR[0] * n + SIMILAR[1] - 1) // SIMILAR[1] + 1
 
 
+# ---------------------------------------------------------------- tables of a fixed size
+
+
+def gathered(tables: DataFrame, dtype, cells: int, add) -> np.ndarray:
+    """One table of `cells` numbers from tasks' tables (part, data), packed part by part.
+
+    Tasks add up what they read and stream what meets in a part, so each holds one table at most,
+    and PARTS rows of a fixed size reach the driver."""
+    schema = pa.schema([("part", pa.int64()), ("data", pa.binary())])
+
+    def run(batches):
+        held, grow = {}, zstandard.ZstdDecompressor()
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data")):
+                more = np.frombuffer(grow.decompress(data.as_py()), dtype)
+                held[part] = add(held[part], more) if part in held else more.copy()
+        yield from packed(held, schema)
+
+    once = tables.mapInArrow(run, "part long, data binary").repartition("part").mapInArrow(run, "part long, data binary")
+    out, grow = np.zeros((PARTS, cells // PARTS), dtype), zstandard.ZstdDecompressor()
+    for row in once.toLocalIterator():
+        out[row.part] = np.frombuffer(grow.decompress(bytes(row.data)), dtype)
+    return out.ravel()
+
+
+def packed(parts: dict[int, np.ndarray], schema: pa.Schema):
+    shrink = zstandard.ZstdCompressor(level=1)
+    yield from batched(((k, shrink.compress(x.tobytes())) for k, x in parts.items()), schema, 8)
+
+
+def add_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums that stay at the largest number."""
+    total = a + b
+    total[total < a] = np.iinfo(a.dtype).max
+    return total
+
+
+# ---------------------------------------------------------------- passes over the texts
+
+
 def describe(rows: DataFrame) -> DataFrame:
     """One pass: kind 0, a row per document with set size and set key; kind 1, the task's n-gram counts by parts of the table."""
-    schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("twin", pa.int64()), ("n", pa.int64()), ("key", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("twin", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        counts, pack = np.zeros(CELLS, np.uint32), zstandard.ZstdCompressor(level=1)
+        counts, shrink = np.zeros(CELLS, np.uint32), zstandard.ZstdCompressor(level=1)
 
         def found():
-            pending, held, any_ = [], 0, False
+            some = False
             for batch in batches:
-                for doc, twin, text in zip(batch.column("doc").to_pylist(), batch.column("twin").to_pylist(), batch.column("text")):
-                    own = shingles(text.as_py())
-                    yield 0, doc, twin, len(own), set_key(own)
-                    pending.append(own)
-                    held += len(own)
-                    if held > 1_000_000:
-                        np.add(counts, np.bincount((np.concatenate(pending) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), out=counts, casting="unsafe")
-                        pending, held, any_ = [], 0, True
-            if held:
-                np.add.at(counts, (np.concatenate(pending) & np.uint64(CELLS - 1)).astype(np.int64), 1)
-            if held or any_:
+                for doc, twin, own in zip(batch.column("doc").to_pylist(), batch.column("twin").to_pylist(), shingle_sets(batch.column("text"))):
+                    yield 0, doc, twin, len(own), set_key(own), None
+                    np.add.at(counts, (own & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                    some = some or len(own) > 0
+            if some:
                 for k, part in enumerate(np.split(counts, PARTS)):
-                    yield 1, k, 0, 0, pack.compress(part.tobytes())
+                    yield 1, k, 0, 0, None, shrink.compress(part.tobytes())
 
         yield from batched(found(), schema, 5_000)
 
-    return rows.mapInArrow(run, "kind int, doc long, twin long, n long, key binary")
+    return rows.mapInArrow(run, "kind int, doc long, twin long, n long, key binary, counts binary")
 
 
-def count_table(described: DataFrame) -> np.ndarray:
-    """The summed table: PARTS rows of a fixed size reach the driver."""
+def sketch(found: np.ndarray, cuts: np.ndarray) -> bytes:
+    """For each fragment the number of its n-grams and a row of bits, each the parity of those that fall on it."""
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        log = min(SKETCH[1], max(SKETCH[0], (b - a - 1).bit_length()))
+        bits = np.bincount(((found[a:b] >> np.uint64(24)) & np.uint64((1 << log) - 1)).astype(np.int64), minlength=1 << log) & 1
+        out.append(struct.pack("<IB", b - a, log) + np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
+    return b"".join(out)
 
-    def add(key, data):
-        grow, total = zstandard.ZstdDecompressor(), np.zeros(CELLS // PARTS, np.uint64)
-        for x in data.column("key"):
-            total += np.frombuffer(grow.decompress(x.as_py()), np.uint32)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "total": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
-    out = np.zeros((PARTS, CELLS // PARTS), np.uint32)
-    for row in described.where("kind = 1").select("doc", "key").groupBy("doc").applyInArrow(add, "part long, total binary").collect():
-        out[row.part] = np.frombuffer(row.total, np.uint32)
-    return out.ravel()
+def unsketched(data: bytes) -> list[tuple[int, int, int]]:
+    """(n-grams, log of bits, bits as a number) of each fragment."""
+    out, at = [], 0
+    while at < len(data):
+        n, log = struct.unpack_from("<IB", data, at)
+        at += 5
+        out.append((n, log, int.from_bytes(data[at : at + (1 << log) // 8], "little")))
+        at += (1 << log) // 8
+    return out
+
+
+def folded(bits: int, log: int, to: int) -> int:
+    """The sketch with fewer bits: its halves laid over each other."""
+    while log > to:
+        log -= 1
+        bits = (bits >> (1 << log)) ^ (bits & ((1 << (1 << log)) - 1))
+    return bits
+
+
+def most_shared(left: list, right: list) -> int:
+    """An upper bound of the overlap, fragment by fragment: n-grams that only one of the two has flip a bit each at most."""
+    total = 0
+    for (n, p, x), (m, q, y) in zip(left, right):
+        if p != q:
+            x, y = folded(x, p, q), folded(y, q, p)
+        total += min(n, m, (n + m - (x ^ y).bit_count()) // 2)
+    return total
+
 
+def enough(shared, n, m):
+    return shared * (SIMILAR[0] + SIMILAR[1]) >= (n + m) * SIMILAR[0]
 
-def prefixes(texts: DataFrame, order) -> DataFrame:
-    """The first n-grams of each set in the global order, with their places; hot ones may stand in more than COLD sets."""
-    schema = pa.schema([("gram", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("hot", pa.bool_())])
+
+CUT = "kind int, sid long, n long, doc long, gram long, at int, part int, key binary, sketch binary, block binary"
+
+
+def cut_sets(rows: DataFrame, order, parts: int) -> DataFrame:
+    """The second pass, narrow as the first. Of each set that is new to the task: kind 0, its sid,
+    size, key, a document that has it and its sketch; kind 1, the first n-grams in the global order
+    of many sets together, dealt by hash to `parts` and packed; kind 2, a row for each of these
+    that may stand in more than COLD sets."""
+    schema = pa.schema([("kind", pa.int32()), ("sid", pa.int64()), ("n", pa.int64()), ("doc", pa.int64()), ("gram", pa.int64()), ("at", pa.int32()), ("part", pa.int32()), ("key", pa.binary()), ("sketch", pa.binary()), ("block", pa.binary())])
 
     def run(batches):
+        shrink, edges = zstandard.ZstdCompressor(level=1), np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+
+        def deal(held):
+            flat = np.concatenate([x for x, _ in held])
+            at = np.concatenate([np.arange(len(x), dtype=np.uint32) for x, _ in held])
+            sid = np.repeat(np.array([s for _, s in held]), [len(x) for x, _ in held])
+            hot = order.value.classes[flat & np.uint64(CELLS - 1)] >= order.value.hot
+            for g, s, a in zip(flat[hot].view(np.int64).tolist(), sid[hot].tolist(), at[hot].tolist()):
+                yield 2, s, None, None, g, a, None, None, None, None
+            flat, at, sid = flat[~hot], at[~hot], sid[~hot]
+            by = np.argsort(flat)
+            flat, at, sid = flat[by], at[by], sid[by]
+            cuts = np.concatenate([[0], np.searchsorted(flat, edges, "left"), [len(flat)]])
+            for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                if a < b:
+                    yield 1, None, None, None, None, None, part, None, None, shrink.compress(pack_block(flat[a:b], sid[a:b], at[a:b]))
+
+        def found():
+            known, held, size, first = set(), [], 0, TaskContext.get().partitionId() << 32
+            for batch in batches:
+                for doc, own in zip(batch.column("doc").to_pylist(), shingle_sets(batch.column("text"))):
+                    key = set_key(own)
+                    if not len(own) or key in known:
+                        continue
+                    sid = first + len(known)
+                    known.add(key)
+                    own, cuts = order.value.sort(own)
+                    yield 0, sid, len(own), doc, None, None, None, key, sketch(own, cuts), None
+                    held.append((own[: prefix_length(len(own))].copy(), sid))
+                    size += len(held[-1][0])
+                    if size >= HELD:
+                        yield from deal(held)
+                        held, size = [], 0
+            if held:
+                yield from deal(held)
+
+        yield from batched(found(), schema, 2_000)
+
+    return rows.select("doc", "text").mapInArrow(run, CUT)
+
+
+def pack_block(gram: np.ndarray, sid: np.ndarray, at: np.ndarray) -> bytes:
+    """Sorted n-grams by their differences, byte by byte; the sets' numbers in the task and the places."""
+    steps = np.diff(gram, prepend=np.uint64(0))
+    head = struct.pack("<qI", int(sid[0]) >> 32, len(gram))
+    return head + steps.view(np.uint8).reshape(-1, 8).T.tobytes() + (sid & 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    task, n = struct.unpack_from("<qI", data)
+    raw = np.frombuffer(data, np.uint8, offset=12)
+    wide = lambda x, w: np.ascontiguousarray(x.reshape(w, n).T)
+    gram = np.cumsum(wide(raw[: 8 * n], 8).view(np.uint64).ravel(), dtype=np.uint64)
+    return gram, wide(raw[8 * n : 12 * n], 4).view("<u4").ravel().astype(np.int64) + (task << 32), wide(raw[12 * n :], 4).view("<u4").ravel().astype(np.int32)
+
+
+def shared_grams(cut: DataFrame, parts: int) -> DataFrame:
+    """(gram, sid, at) of the prefix n-grams that at least two sets have; a task gets the packed n-grams of one part."""
+    schema = pa.schema([("gram", pa.int64()), ("sid", pa.int64()), ("at", pa.int32())])
+
+    def run(batches):
+        grow = zstandard.ZstdDecompressor()
+        found = [unpack_block(grow.decompress(x.as_py())) for batch in batches for x in batch.column("block")]
+        if not found:
+            return
+        gram, sid, at = (np.concatenate(x) for x in zip(*found))
+        del found
+        by = np.argsort(gram)
+        same = gram[by][1:] == gram[by][:-1]
+        by = by[np.append(same, False) | np.append(False, same)]
+        for k in range(0, len(by), 50_000):
+            some = by[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[some].view(np.int64)), pa.array(sid[some]), pa.array(at[some])], schema=schema)
+
+    return cut.where("kind = 1").select("part", "block").repartitionById(parts, F.col("part")).mapInArrow(run, "gram long, sid long, at int")
+
+
+def filter_of(wanted: DataFrame) -> np.ndarray:
+    """Bits of the documents in wanted(doc); others share them by chance, more where more is wanted."""
+    schema = pa.schema([("part", pa.int64()), ("data", pa.binary())])
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            block = []
-            for sid, text in zip(batch.column("sid").to_pylist(), batch.column("text")):
-                found = shingles(text.as_py())
-                own = order.value.sort(found)[0][: prefix_length(len(found))]
-                hot = order.value.classes[own & np.uint64(CELLS - 1)] >= order.value.hot
-                block.append((own.view(np.int64), np.full(len(own), sid), np.full(len(own), len(found), np.int32), np.arange(len(own), dtype=np.int32), hot))
-                if len(block) >= 2_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*block)], schema=schema)
-                    block = []
-            if block:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*block)], schema=schema)
+            at = place_of(batch.column("doc").to_numpy())
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield from packed({k: x for k, x in enumerate(np.split(bits, PARTS)) if x.any()}, schema)
+
+    return gathered(wanted.select("doc").mapInArrow(run, "part long, data binary"), np.uint8, FILTER_BITS // 8, np.bitwise_or)
 
-    return texts.mapInArrow(run, "gram long, sid long, n int, at int, hot boolean")
 
+def place_of(doc: np.ndarray) -> np.ndarray:
+    return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
-def segments(texts: DataFrame, order) -> DataFrame:
-    """Each set cut at the pivots: the n-grams of one fragment a row."""
-    schema = pa.schema([("sid", pa.int64()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
+
+def segments(rows: DataFrame, order, bits) -> DataFrame:
+    """The sets of the documents in the filter, cut at the pivots: key and the n-grams of one fragment a row."""
+    schema = pa.schema([("key", pa.binary()), ("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
-        def rows():
+        def made():
+            known = set()
             for batch in batches:
-                for sid, text in zip(batch.column("sid").to_pylist(), batch.column("text")):
-                    found, fragment = order.value.sort(shingles(text.as_py()))
-                    cuts = np.flatnonzero(np.diff(fragment)) + 1
-                    for part, where in zip(np.split(found, cuts), np.concatenate([[0], cuts])):
-                        if len(part):
-                            yield sid, int(fragment[where]), np.sort(part.view(np.int64))
+                at = place_of(batch.column("doc").to_numpy())
+                chosen = batch.column("text").filter(pa.array((bits.value[at >> 3] >> (at & 7)) & 1).cast(pa.bool_()))
+                for own in shingle_sets(chosen):
+                    key = set_key(own)
+                    if key in known:
+                        continue
+                    known.add(key)
+                    own, cuts = order.value.sort(own)
+                    for f, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                        if a < b:
+                            yield key, f, np.sort(own[a:b].view(np.int64))
+
+        yield from batched(made(), schema, 500)
 
-        yield from batched(rows(), schema, 2_000)
+    return rows.select("doc", "text").mapInArrow(run, "key binary, fragment int, grams array<long>")
 
-    return texts.mapInArrow(run, "sid long, fragment int, grams array<long>")
+
+# ---------------------------------------------------------------- pairs
 
 
 def possible(n: str, m: str, i: str, j: str):
@@ -166,30 +338,81 @@ def possible(n: str, m: str, i: str, j: str):
     return sizes & (best * (a + b) >= (F.col(n) + F.col(m)) * a)
 
 
+def sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose overlaps, bounded in each fragment apart and summed up, can be enough; with their sizes n and m."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            best = np.array([most_shared(unsketched(x), unsketched(y)) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)], schema=schema).filter(pa.array(enough(best, n, m), pa.bool_()))
+
+    left = classes.select(F.col("sid").alias("a"), "n", F.col("sketch").alias("left"))
+    right = classes.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("right"))
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long, n long, m long")
+
+
 def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs (a, b, n, m) that are similar: partial overlaps are counted in each fragment apart and summed up."""
     left = parts.select(F.col("sid").alias("a"), "fragment", F.col("grams").alias("left"))
     right = parts.select(F.col("sid").alias("b"), "fragment", F.col("grams").alias("right"))
     partial = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "fragment"]).select("a", "b", "n", "m", F.size(F.array_intersect("left", "right")).cast("long").alias("shared"))
     total = partial.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared"))
-    return total.where(F.col("shared") * SIMILAR[1] >= (F.col("n") + F.col("m") - F.col("shared")) * SIMILAR[0]).select("a", "b")
-
-
-def block_links(wide: DataFrame, parts: DataFrame) -> DataFrame:
-    """Links (a, b) between the components of wide buckets (gram, sid, c, n, many).
-
-    In each bucket every class outside its largest component is held against all classes of other
-    components, block by block: a task holds at most about BLOCK of either and counts their overlaps in each
-    fragment apart. It returns links that join two components it had not joined before, so that
-    what comes out grows with the number of components, and no pairs are made as rows."""
-    largest = wide.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    blocks = F.ceil(F.col("many") / BLOCK).cast("long")
-    rows = wide.join(largest, "gram").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    members = rows.select("gram", F.col("own").alias("x"), other.alias("y"), F.lit(False).alias("asks"), "sid", "c", "n")
-    strays = rows.where("c <> main").select("gram", F.col("own").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x"), F.lit(True).alias("asks"), "sid", "c", "n")
+    return total.where(enough(F.col("shared"), F.col("n"), F.col("m"))).select("a", "b")
+
+
+def dealt(wide: DataFrame) -> DataFrame:
+    """The rows (gram, sid, c) of wide buckets as (gram, x, y, asks, sid, c): in each bucket the classes outside
+    its largest component ask, in blocks y, and all classes are held against them, in blocks x.
+
+    A task meets about BLOCK of either, however wide the bucket is; a class is copied once for each
+    block of the other side, and those that ask are few once stars have joined the rest."""
+    size = wide.groupBy("gram", "c").agg(F.count("*").alias("k"))
+    largest = size.groupBy("gram").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("many"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK).cast("long"), F.lit(1).cast("long"))
+    largest = largest.select("gram", F.col("main.c").alias("main"), blocks(F.col("many")).alias("xs"), blocks(F.col("many") - F.col("main.k")).alias("ys"))
+    rows = wide.select("gram", "sid", "c").join(largest, "gram")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("sid"), F.col(n))
+    members = rows.select("gram", own("xs").alias("x"), all_("ys").alias("y"), F.lit(False).alias("asks"), "sid", "c")
+    strays = rows.where("c <> main").select("gram", all_("xs").alias("x"), own("ys").alias("y"), F.lit(True).alias("asks"), "sid", "c")
+    return members.unionByName(strays)
+
+
+def feasible(wide: DataFrame, classes: DataFrame) -> DataFrame:
+    """(gram, sid) of the rows of wide buckets that have, by their sketches, a possible partner in another component there."""
+
+    def meet(data):
+        asks = data.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        sid, c, n = (data.column(k).to_numpy() for k in ("sid", "c", "n"))
+        sketches = [unsketched(x) for x in data.column("sketch").to_pylist()]
+        # A first look with the least number of bits, all members at once.
+        sizes = np.array([[f[0] for f in s] for s in sketches], np.int64).reshape(len(sid), -1)
+        low = np.array([[folded(f[2], f[1], SKETCH[0]) for f in s] for s in sketches], np.uint64).reshape(len(sid), -1)
+        members, found = np.flatnonzero(~asks), set()
+        for k in np.flatnonzero(asks) if len(members) else ():
+            apart = np.bitwise_count(low[members] ^ low[k]).astype(np.int64)
+            best = np.minimum(np.minimum(sizes[members], sizes[k]), (sizes[members] + sizes[k] - apart) // 2).sum(1)
+            near = members[enough(best, n[members], n[k]) & (c[members] != c[k])]
+            near = [r for r in near.tolist() if enough(most_shared(sketches[k], sketches[r]), int(n[k]), int(n[r]))]
+            if near:
+                found.update(near, [int(k)])
+        rows = sorted(found)
+        return pa.table({"gram": pa.array([data.column("gram")[r].as_py() for r in rows], pa.int64()), "sid": pa.array(sid[rows], pa.int64())})
+
+    met = dealt(wide).join(classes.select("sid", "n", "sketch").hint("merge"), "sid")
+    return met.groupBy("gram", "x", "y").applyInArrow(meet, "gram long, sid long").distinct()
+
+
+def block_links(wide: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of wide buckets (gram, sid, c).
+
+    A task of dealt() counts the overlaps of its blocks in each fragment apart. It returns links
+    that join two components it had not joined before, so that what comes out grows with the
+    number of components, and no pairs are made as rows."""
     sets = parts.groupBy("sid").agg(F.collect_list(F.struct("fragment", "grams")).alias("cuts"))
-    dealt = members.unionByName(strays.select(members.columns)).join(sets.hint("merge"), "sid")
+    rows = dealt(wide).join(classes.select("sid", "n").hint("merge"), "sid").join(sets.hint("merge"), "sid")
 
     def link(data):
         asks = np.array(data.column("asks").to_pylist(), bool)
@@ -219,7 +442,7 @@ def block_links(wide: DataFrame, parts: DataFrame) -> DataFrame:
                     low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
                     size = high - low
                     shared += np.bincount(owner[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())], minlength=len(askers))
-            near = (c[askers] != c[r]) & (shared * SIMILAR[1] >= (n[askers] + n[r] - shared) * SIMILAR[0])
+            near = (c[askers] != c[r]) & enough(shared, n[askers], n[r])
             for k in askers[near]:
                 a, b = find(int(c[k])), find(int(c[r]))
                 if a != b:
@@ -227,7 +450,7 @@ def block_links(wide: DataFrame, parts: DataFrame) -> DataFrame:
                     out.append((int(min(sid[k], sid[r])), int(max(sid[k], sid[r]))))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return dealt.groupBy("gram", "x", "y").applyInArrow(link, "a long, b long").distinct()
+    return rows.groupBy("gram", "x", "y").applyInArrow(link, "a long, b long").distinct()
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
@@ -236,8 +459,12 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     Documents with equal sets are one class, represented once. A pair of classes is looked at only
     if they share a prefix n-gram and their sizes and places allow the similarity. Within such a
     bucket nothing is paired that is already linked: rounds of stars join each class to one hub of
-    its bucket, components are taken, and only classes of different components are paired at last;
-    every pair that could link two components is verified, so no link between them is lost.
+    its bucket, components are taken, and only classes of different components are paired at last.
+    Of every pair the overlap is first bounded in each fragment of the order by sketches and, where
+    the sum allows it, counted in each fragment and summed up, so no link between components is lost.
+
+    Texts are never shuffled: the passes over them are narrow, and sets travel only of classes that
+    such a pair has, found again through a filter of fixed size.
 
     Null, empty and white-space texts have an empty set and link with nothing; a null doc_id is
     null in the result, counts as smaller than all others while links are followed and gives its
@@ -248,31 +475,37 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     rows = keyed(docs)
     described = scratch.save(describe(rows), "described")
-    order = spark.sparkContext.broadcast(Order(count_table(described), FRAGMENTS))
-    members = described.where("kind = 0").drop("kind")
-    classes = members.where("n > 0").groupBy("key").agg(F.min(F.struct("doc", "twin")).alias("first"), F.first("n").alias("n"))
-    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("sid"), "key", "first.doc", "first.twin", "n"), "classes")
-    texts = rows.dropDuplicates(["doc", "twin"]) if docs_repeat(members) else rows
-    texts = texts.select("doc", "twin", "text")
-
-    # Buckets of a prefix n-gram that at least two classes share.
-    every = scratch.save(prefixes(texts.join(classes.select("sid", "doc", "twin").hint("merge"), ["doc", "twin"]).select("sid", "text"), order), "prefixes")
-    # Counted in one shuffle where a bound is known; n-grams that may be hot are aggregated first and joined back.
-    cold = every.where("NOT hot").withColumn("many", F.count("*").over(Window.partitionBy("gram"))).where("many > 1").drop("many", "hot")
-    shared = every.where("hot").groupBy("gram").agg(F.count("*").alias("many")).where("many > 1").select("gram")
-    bucket = scratch.save(cold.unionByName(every.where("hot").drop("hot").join(shared, "gram")), "buckets")
-    scratch.drop("prefixes")
+    order = spark.sparkContext.broadcast(Order(gathered(described.where("kind = 1").select(F.col("doc").alias("part"), F.col("counts").alias("data")), np.uint32, CELLS, add_counts), FRAGMENTS))
+    members = scratch.save(described.where("kind = 0").select("doc", "twin", "n", "key"), "members")
+    scratch.drop("described")
+
+    # Buckets of a prefix n-gram that at least two sets share.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = scratch.save(cut_sets(rows, order, parts), "cut")
+    sets = cut.where("kind = 0").select("sid", "n", "doc", "key", "sketch")
+    classes = sets.groupBy("key").agg(F.min(F.struct("sid", "n", "doc", "sketch")).alias("first"))
+    classes = scratch.save(classes.select("first.sid", "first.n", "first.doc", "key", "first.sketch"), "classes")
+    # A set that several tasks met has one number from here on.
+    named = sets.select(F.col("sid").alias("own"), "key").join(classes.select("key", "sid", "n").hint("merge"), "key").select("own", "sid", "n")
+    hot = cut.where("kind = 2").select("gram", "sid", "at")
+    often = hot.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1").select("gram")
+    both = scratch.save(shared_grams(cut, parts).unionByName(hot.join(often, "gram").select("gram", "sid", "at")), "shared")
+    bucket = scratch.save(both.withColumnRenamed("sid", "own").join(named.hint("merge"), "own").select("gram", "sid", F.col("n").cast("int").alias("n"), "at"), "buckets")
+    scratch.drop("cut", "shared")
+
+    unique = unique_ids(members.select(F.col("doc").alias("doc_id")))
 
     def have(parts: DataFrame | None, sids: DataFrame, name: str) -> DataFrame:
         """parts with the segments of these classes too."""
         missing = sids if parts is None else sids.join(parts.select("sid"), "sid", "left_anti")
-        wanted = scratch.save(missing.join(classes.select("sid", "doc", "twin"), "sid"), f"{name}-wanted")
-        many = wanted.count()
-        if parts is not None and not many:
-            return parts
-        # Up to a counted bound the wanted classes are broadcast; beyond it the texts are shuffled to them.
-        side = F.broadcast(wanted) if many <= FEW else wanted.hint("merge")
-        more = scratch.save(segments(texts.join(side, ["doc", "twin"]).select("sid", "text"), order), name)
+        wanted = scratch.save(missing.join(classes.select("sid", "doc", "key").hint("merge"), "sid"), f"{name}-wanted")
+        if wanted.isEmpty():
+            return wanted.select("sid", F.lit(0).alias("fragment"), F.array().cast("array<long>").alias("grams")) if parts is None else parts
+        bits = spark.sparkContext.broadcast(filter_of(wanted))
+        found = segments(rows, order, bits).join(wanted.select("sid", "key").hint("merge"), "key")
+        # Where doc_ids repeat, several tasks may meet a set.
+        more = scratch.save((found if unique else found.dropDuplicates(["sid", "fragment"])).select("sid", "fragment", "grams"), name)
+        bits.unpersist()
         return more if parts is None else parts.unionByName(more)
 
     links = tested = roots = parts = None
@@ -289,44 +522,37 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         # Each bucket's hub is another one by chance, so that whoever shares many buckets meets many hubs; at first it is
         # the smallest, which all copies of a text have in common.
         chance = F.col("sid") if turn == 0 else F.xxhash64("sid", "gram", F.lit(turn))
-        spread = placed.groupBy("gram").agg(F.min(F.struct(chance.alias("chance"), "c", "sid", "n", "at")).alias("hub"))
         if not last:
-            hubs = spread.select("gram", "hub")
+            hubs = placed.groupBy("gram").agg(F.min(F.struct(chance.alias("chance"), "c", "sid", "n", "at")).alias("hub"))
             pairs = placed.join(hubs, "gram").where("c <> hub.c").select("sid", "n", "at", F.col("hub.sid").alias("other"), F.col("hub.n").alias("m"), F.col("hub.at").alias("on"))
         else:
             sized = placed.groupBy("gram").agg(F.count("*").alias("many"))
-            wide = scratch.save(placed.join(sized.where(F.col("many") > WIDE), "gram"), "wide")
+            wide = scratch.save(placed.join(sized.where(F.col("many") > WIDE), "gram").select("gram", "sid", "c").distinct(), "wide")
             if not wide.isEmpty():
+                near = scratch.save(feasible(wide, classes), "feasible")
+                wide = scratch.save(wide.join(near, ["gram", "sid"]), "wide-near")
                 parts = have(parts, wide.select("sid").distinct(), "segments-wide")
-                found = scratch.save(block_links(wide.select("gram", "sid", "c", "n", "many"), parts), "links-wide")
+                found = scratch.save(block_links(wide, parts, classes), "links-wide")
                 links = found if links is None else links.unionByName(found)
             open_ = placed.join(sized.where(F.col("many") <= WIDE).select("gram"), "gram")
             right = open_.select("gram", F.col("sid").alias("other"), F.col("n").alias("m"), F.col("at").alias("on"), F.col("c").alias("oc"))
             pairs = open_.join(right, "gram").where("c < oc")
-        pairs = pairs.where(possible("n", "m", "at", "on"))
-        swap = F.col("sid") < F.col("other")
-        pairs = pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(swap, F.col("m")).otherwise(F.col("n")).alias("m")).distinct()
+        pairs = pairs.where(possible("n", "m", "at", "on")).select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs-{turn}")
-        needed = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"needed-{turn}")
-        parts = have(parts, needed, f"segments-{turn}")
+        pairs = scratch.save(sketched(pairs, classes), f"pairs-{turn}")
+        parts = have(parts, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"segments-{turn}")
         found = scratch.save(verified(pairs, parts), f"links-{turn}")
         links = found if links is None else links.unionByName(found)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         # What is joined already goes on as one edge a class.
         roots = components(scratch, links, f"components-{turn}")
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        if last:
-            break
-    scratch.drop("buckets", *(f"{x}-{k}" for k in range(turn + 1) for x in ("segments", "placed", "pairs", "needed")))
+    scratch.drop("buckets", "segments-wide", *(f"{x}-{k}" for k in range(STARS + 1) for x in ("segments", "placed", "pairs")))
 
-    reached = classes.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = reached.groupBy("root").agg(F.min("doc").alias("component"))
-    named = reached.join(least, "root").select("key", "component")
+    reached = classes.select("sid", "key").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", F.coalesce("root", "sid").alias("root"))
+    # The least document of each class is aggregated first, so that a group of copies moves as one row a task.
+    least = members.where("n > 0").groupBy("key").agg(F.min("doc").alias("doc")).join(reached, "key")
+    named = reached.join(least.groupBy("root").agg(F.min("doc").alias("component")), "root").select("key", "component")
     out = members.join(named, "key", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
     return out.select(real_id().alias("doc_id"), F.col("n").alias("n_shingles"), real_id("component").alias("component_id"), F.col("twin").alias("text_hash"))
-
-
-def docs_repeat(members: DataFrame) -> bool:
-    return not members.groupBy("doc", "twin").count().where("count > 1").isEmpty()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import batched, small_batches, word_hashes
+from veilspark.llm.common import FOLDED, batched, one_text, small_batches, word_hashes
 
 #: Numbers of hash buckets for words, of structure features and of latent factors.
 BUCKETS, STATS, FACTORS = 1 << 15, 18, 6
@@ -25,8 +25,9 @@ _ends = re.compile(r"[.!?]")
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Positions and values of a document's features. The first STATS are structure and size, the rest hashed words."""
     raw = text.encode("utf-8", "replace")
-    words, lines = raw.lower().split(), text.split("\n")
-    n, size = len(words), max(1, len(text))
+    hashed, _ = word_hashes(*one_text(raw), FOLDED)
+    lines = text.split("\n")
+    n, size = len(hashed), max(1, len(text))
     codes = np.frombuffer(raw, np.uint8)
     upper = np.count_nonzero((codes >= 65) & (codes <= 90))
     lower = np.count_nonzero((codes >= 97) & (codes <= 122))
@@ -36,7 +37,6 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     total = max(1, len(codes))
     marks = total - upper - lower - digit - wide - space
     sentence = len(_ends.findall(text))
-    hashed = word_hashes.array(words)
     distinct, counts = np.unique(hashed, return_counts=True)
     values = np.zeros(STATS)
     values[:] = [

@@ -17,22 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import Scratch, batched, keyed, mix, unique_ids
+from veilspark.llm.common import INVERSE, ODD, Scratch, batched, keyed, mix, powers, text_blocks, unique_ids
 
 #: Pieces are cut after so many windows of one key, so that monotonous text makes no unbounded piece.
 LONGEST = 400
-ODD = 0x9E3779B97F4A7C15
-INVERSE = pow(ODD, -1, 2**64)
 
 
 @dataclass(frozen=True)
 class Unit:
-    """split: units of a text as bytes; hashes: of its units; cut: content of a range of units."""
+    """split: units of a text as bytes; hashes: of the units of texts in a row, and how many each has; cut: content of a range of units."""
 
     length: int
     gram: int
     split: Callable[[str], object]
-    hashes: Callable[[object], np.ndarray]
+    hashes: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     cut: Callable[[object, int, int], bytes]
     #: Whether a repeat within one document counts.
     inside: bool
@@ -64,17 +62,6 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-_powers = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
-        x = np.full(max(n, 1 << 16), base, np.uint64)
-        x[0] = 1
-        _powers[base] = np.cumprod(x)
-    return _powers[base][:n]
-
-
 def pieces(hashes: np.ndarray, sizes: np.ndarray, length: int, gram: int, inside: bool):
     """(key, owner, start, windows, content hash, again) of the pieces of several documents whose unit hashes stand in a row.
 
@@ -114,34 +101,20 @@ def pieces(hashes: np.ndarray, sizes: np.ndarray, length: int, gram: int, inside
 
 
 def fingerprints(rows: DataFrame, unit: Unit, block: int = 1 << 18) -> DataFrame:
-    """Every piece: key, doc, twin, start, windows, content, again."""
+    """Every piece: key, doc, twin, start, windows, content, again. Texts are looked at by blocks of about so many bytes."""
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("content", pa.int64()), ("again", pa.bool_())])
 
     def run(batches):
-        def close(docs, twins, parts):
-            sizes = np.array([len(x) for x in parts])
-            found = pieces(np.concatenate(parts), sizes, unit.length, unit.gram, unit.inside)
-            if found is None:
-                return None
-            key, who, start, count, content, again = found
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), np.array(docs)[who], np.array(twins)[who], start.astype(np.int64), count.astype(np.int32), content.view(np.int64), again)], schema=schema)
-
-        docs, twins, parts, held = [], [], [], 0
         for batch in batches:
-            for doc, twin, text in zip(batch.column("doc").to_pylist(), batch.column("twin").to_pylist(), batch.column("text")):
-                h = unit.hashes(unit.split(text.as_py()))
-                if len(h) < unit.length:
-                    continue
-                docs.append(doc)
-                twins.append(twin)
-                parts.append(h)
-                held += len(h)
-                if held >= block:
-                    if (made := close(docs, twins, parts)) is not None:
-                        yield made
-                    docs, twins, parts, held = [], [], [], 0
-        if parts and (made := close(docs, twins, parts)) is not None:
-            yield made
+            docs, twins, first = batch.column("doc").to_numpy(), batch.column("twin").to_numpy(), 0
+            for data, bounds in text_blocks(batch.column("text"), block):
+                hashes, sizes = unit.hashes(data, bounds)
+                found = pieces(hashes, sizes, unit.length, unit.gram, unit.inside)
+                if found is not None:
+                    key, who, start, count, content, again = found
+                    who = who + first
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), docs[who], twins[who], start.astype(np.int64), count.astype(np.int32), content.view(np.int64), again)], schema=schema)
+                first += len(sizes)
 
     return rows.select("doc", "twin", "text").mapInArrow(run, "key long, doc long, twin long, start long, windows int, content long, again boolean")
 

@@ -9,20 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import Scratch, batched, mix, real_id
+from veilspark.llm.common import CODES, Scratch, batched, real_id
 from veilspark.llm.repeats import Unit, covered, mask_of
 
 #: Bytes of a repeat, of the grams that key a window, and of the first sort.
 LENGTH, GRAM, FIRST = 100, 16, 8
 
-_codes = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 def split_bytes(text: str) -> bytes:
     return text.encode("utf-8", "replace")
 
 
-def hash_bytes(raw: bytes) -> np.ndarray:
-    return _codes[np.frombuffer(raw, np.uint8)]
+def hash_bytes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return CODES[data], np.diff(bounds)
 
 
 def cut_bytes(raw: bytes, a: int, b: int) -> bytes:
