@@ -12,51 +12,66 @@ from veilspark.llm.common import Scratch, batched
 
 #: Scores below this are exact in a double.
 EXACT = 2**53
+#: What a long holds; scores beyond count as its ends.
+LEAST, MOST = -(2**63), 2**63 - 1
+#: How far the lists are read before the bounds are looked at again; beyond the last, to their ends.
+DEPTHS = (1 / 16, 1 / 4, 1 / 2, 0.65, 0.8, 0.9, 0.95)
 
 
 class Lists:
-    """One list per dimension over a block of candidates, sorted by value; read from either end."""
+    """One list per dimension over a block of candidates, sorted by value; read from either end.
+
+    read: entries read so far; asked: entries there were; resolved: candidates whose score was still in question in the end."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
         self.n, self.d = rows.shape
-        order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32)
-        self.up = np.ascontiguousarray(order)
-        self.up_values = np.take_along_axis(rows.T, order, 1)
-        self.down, self.down_values = self.up[:, ::-1], self.up_values[:, ::-1]
-
-    def top(self, query: np.ndarray, own: int | None, k: int, depths: tuple[float, ...] = (1 / 16, 1 / 4)) -> list[tuple[int, int]]:
-        """(candidate's place, score) of everything that may be among the query's k best here.
-
-        Each dimension's list is read from the end with the larger products. Seen products add up to
-        a partial sum; an unseen one lies between the list's last product and the one just read.
-        Reading stops once no outsider's upper bound reaches the k-th lower bound, or at the last of
-        the depths; the scores of those still in question are then resolved."""
+        up = np.argsort(rows, axis=0, kind="stable").T
+        values = np.take_along_axis(rows.T, up, 1)
+        # Row 2 j is dimension j from the smallest value on, row 2 j + 1 from the largest.
+        self.who = np.stack([up, up[:, ::-1]], 1).reshape(2 * self.d, self.n)
+        self.values = np.stack([values, values[:, ::-1]], 1).reshape(2 * self.d, self.n)
+        self.read = self.asked = self.resolved = 0
+
+    def top(self, query: np.ndarray, own: int | None, k: int, floor: float = -np.inf) -> list[tuple[int, float]]:
+        """(candidate's place, score) of everything that may be among the query's k best, of which the k-th is known to reach the floor.
+
+        Each dimension's list is read in sequence from the end with the larger products. What was
+        seen of a candidate adds up; of what wasn't, a product lies between the list's last and the
+        one just read. That gives each candidate a lower and an upper bound of its score. Reading
+        stops once no more than the k with the largest lower bounds and a few others can reach the
+        k-th of these, or the floor, and the scores of those are resolved. Lists that end first give
+        the scores themselves."""
         if not self.d or not self.n:
-            return [(i, 0) for i in range(self.n) if own is None or self.ids[i] != own]
-        positive = (query >= 0)[:, None]
+            return [(i, 0.0) for i in range(self.n) if own is None or self.ids[i] != own]
+        lists = 2 * np.arange(self.d) + (query >= 0)
         others = np.ones(self.n, bool) if own is None else self.ids != own
-        partial, seen = np.zeros(self.n), np.zeros((self.n, self.d), np.float32)
-        worst = query * np.where(positive[:, 0], self.up_values[:, 0], self.up_values[:, -1])
-        dims, at, left = np.arange(self.d)[:, None], 0, others
-        for depth in depths:
-            to = max(at + 1, int(self.n * depth))
-            if to >= self.n or self.n <= 8 * k:
-                break
-            who = np.where(positive, self.down[:, at:to], self.up[:, at:to])
-            products = np.where(positive, self.down_values[:, at:to], self.up_values[:, at:to]) * query[:, None]
+        worst = query * self.values[lists, -1]
+        partial, seen = np.zeros(self.n), np.zeros((self.d, self.n), np.float32)
+        slots, at, left = self.n * np.arange(self.d)[:, None], 0, others
+        slack = 1e-5 * (1 + float(np.abs(worst).sum() + np.abs(query * self.values[lists, 0]).sum()))
+        self.asked += self.n * self.d
+        for depth in (*DEPTHS, 1.0):
+            to = min(self.n, max(at + 1, int(self.n * depth)))
+            who = self.who[lists, at:to]
+            products = self.values[lists, at:to] * query[:, None]
             partial += np.bincount(who.ravel(), products.ravel(), self.n)
-            seen[who, dims] = 1
-            at, last = to, products[:, -1]
-            lower = partial + worst.sum() - seen @ worst.astype(np.float64)
-            upper = partial + last.sum() - seen @ last.astype(np.float64)
-            if others.sum() > k:
-                kth = np.partition(lower[others], -k)[-k]
-                left = others & (upper >= kth - 1e-6 * (1 + abs(kth)))
+            self.read += products.size
+            if to == self.n:
+                break
+            seen.reshape(-1)[(who + slots).ravel()] = 1
+            at = to
+            # What the dimensions that weren't seen add at least and at most.
+            unseen = np.stack([worst, products[:, -1]])
+            lower, upper = partial + unseen.sum(1)[:, None] - unseen.astype(np.float32) @ seen
+            kth = max(floor, np.partition(lower[others], -k)[-k] if others.sum() >= k else -np.inf)
+            left = others & (upper >= kth - slack)
             if left.sum() <= 4 * k:
                 break
         place = np.flatnonzero(left)
-        scores = self.rows[place] @ query
+        self.resolved += len(place) if at < self.n and to < self.n else 0
+        # In whole numbers, whatever the order of additions was.
+        scores = self.rows[place] @ query if to < self.n else np.rint(partial[place])
         if len(place) > k:
             kth = np.partition(scores, -k)[-k]
             place, scores = place[scores >= kth], scores[scores >= kth]
@@ -67,8 +82,14 @@ def exact_scores(rows: np.ndarray, query: np.ndarray) -> bool:
     return rows.size == 0 or float(np.abs(rows).max()) * float(np.abs(query).max(initial=0)) * len(query) < EXACT
 
 
+def whole_scores(rows: np.ndarray, query: np.ndarray) -> list[int]:
+    """Scores in whole numbers of any size, put to the ends of a long where they pass it."""
+    whole = [int(v) for v in query]
+    return [min(MOST, max(LEAST, sum(a * int(b) for a, b in zip(whole, row)))) for row in rows]
+
+
 def packed(vectors: DataFrame, size: int, scale: float) -> DataFrame:
-    """Blocks of at most `size` vectors of one length: ids and floor(scale * x) as doubles."""
+    """Blocks of at most `size` vectors of one length: ids and floor(scale * x) as doubles, put to the largest where it passes them."""
     schema = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())])
 
     def run(batches):
@@ -87,7 +108,8 @@ def packed(vectors: DataFrame, size: int, scale: float) -> DataFrame:
                     values = np.array(x.values.to_numpy(zero_copy_only=False), float)
                     ids, data = open_blocks.setdefault(len(values), ([], []))
                     ids.append(vec)
-                    data.append(np.floor(scale * values))
+                    with np.errstate(over="ignore"):
+                        data.append(np.nan_to_num(np.floor(scale * values)))
                     if len(ids) >= size:
                         yield close(len(values))
             for d in list(open_blocks):
@@ -98,17 +120,19 @@ def packed(vectors: DataFrame, size: int, scale: float) -> DataFrame:
     return vectors.mapInArrow(run, "block long, dim int, ids binary, rows binary")
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, block: int = 2_048, queries: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, block: int = 4_096, queries: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every query, ties to the smaller vec_id.
 
     Queries are the rows whose vec_id is divisible by `every`. Candidates and queries are packed
     into blocks; the blocks of queries are dealt to the groups of candidate blocks, and each pair of
     blocks returns at most k rows and ties a query, so what is merged grows with queries and blocks.
+    Within a task, the k-th score that a query has reached is the floor for the blocks that follow.
 
     Vectors that are null or hold a null or a non-finite number take no part, nor do rows without
     vec_id; vectors of different lengths are never compared; a repeated vec_id is one query a row
-    and never a candidate of its own; equal (query, candidate, score) rows count once; an empty
-    table gives no rows; other columns are ignored."""
+    and never a candidate of its own; equal (query, candidate, score) rows count once; scores beyond
+    a long count as its largest or smallest number; an empty table gives no rows; other columns are
+    ignored."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     x = F.col("embedding").cast("array<double>")
@@ -125,21 +149,29 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     def search(batches):
         def rows():
             known, lists = None, None
+            # The best scores of distinct candidates that each query has met in this task; repeats are found by their id.
+            best: dict[tuple[int, bytes], dict[int, int]] = {}
             for batch in batches:
                 for r in range(batch.num_rows):
                     block, d, ids, data, q_ids, q_rows = (batch.column(c)[r].as_py() for c in range(6))
                     if block != known:
                         ids = np.frombuffer(ids, "<i8")
                         known, lists = block, Lists(ids, np.frombuffer(data, float).reshape(len(ids), d))
+                        # Rows that repeat a vec_id may count once, so as many more are asked for.
+                        more = len(ids) - len(np.unique(ids))
                     q_ids = np.frombuffer(q_ids, "<i8")
                     for q, query in zip(q_ids.tolist(), np.frombuffer(q_rows, float).reshape(len(q_ids), d)):
-                        if exact_scores(lists.rows, query):
-                            found = [(int(s), int(lists.ids[i])) for i, s in lists.top(query, q, k)]
+                        met = best.setdefault((q, query.tobytes()), {})
+                        floor = min(met.values()) if len(met) == k else -np.inf
+                        if not exact_scores(lists.rows, query):
+                            found = [(s, int(i)) for i, s in zip(lists.ids, whole_scores(lists.rows, query)) if i != q]
                         else:
-                            whole = [int(v) for v in query]
-                            found = [(sum(a * int(b) for a, b in zip(whole, row)), int(i)) for i, row in zip(lists.ids, lists.rows) if i != q]
+                            found = [(int(s), int(lists.ids[i])) for i, s in lists.top(query, q, k + more, floor)]
                         for s, i in sorted(set(found), key=lambda x: (-x[0], x[1]))[:k]:
                             yield q, i, s
+                            met[i] = max(met.get(i, LEAST), s)
+                        for i in sorted(met, key=lambda i: (-met[i], i))[k:]:
+                            del met[i]
 
         yield from batched(rows(), schema)
 
