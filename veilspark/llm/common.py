@@ -82,6 +82,12 @@ def put_file(uri: str, name: str, data: bytes) -> None:
     system.move(draft, posixpath.join(folder, name))
 
 
+def get_file(uri: str, name: str) -> bytes:
+    system, folder = task_filesystem(uri)
+    with system.open_input_stream(posixpath.join(folder, name)) as file:
+        return file.read()
+
+
 def unique_ids(docs: DataFrame) -> bool:
     """Whether no doc_id stands in two rows; reads that column only."""
     return docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()

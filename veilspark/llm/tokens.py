@@ -118,9 +118,13 @@ def encoder(path: str) -> Encoder:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = 2_000, sample_ids: int = 4_096, size: int = 65_536) -> bytes:
     """A shared dictionary from the serialised ids of at most sample_docs documents (smallest hashes
-    of doc_id), at most sample_ids ids of each: a bound of 16 MB. Empty when there is too little to learn from."""
+    of doc_id and text), at most sample_ids ids of each: a bound of 16 MB. Empty when there is too
+    little to learn from. The documents are chosen by their numbers alone, so that no other text moves."""
     end = np.array([END_ID], "<u4").tobytes()
-    picked = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("twin"), F.col("text").cast("string").alias("text"))
+    chosen = rows.select("doc", "twin").orderBy(F.xxhash64("doc", "twin"), "doc", "twin").limit(sample_docs)
+    # At most sample_docs rows of two numbers: broadcast, bounded by the parameter.
+    picked = rows.join(F.broadcast(chosen.distinct()), ["doc", "twin"]).groupBy("doc", "twin").agg(F.first("text").alias("text")).orderBy("doc", "twin")
 
     def serialise(batches):
         encode = encoder(tokenizer)
@@ -229,7 +233,9 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple[str, in
         def rows():
             for batch in batches:
                 for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                    first = known.value[path.rsplit("/", 1)[-1]]
+                    first = known.value.get(path.rsplit("/", 1)[-1])
+                    if first is None:  # left by an attempt that never finished
+                        continue
                     for doc, before, ids in read_file(data.as_py(), dictionary):
                         raw = ids.tobytes()
                         yield doc, first + before, len(ids), zlib.crc32(raw), raw

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import Scratch, batched, put_file
+from veilspark.llm.common import Scratch, batched, get_file, put_file
 
 VERSION = b"WARC/1.1"
 MEMBER = b"\x1f\x8b\x08"
@@ -175,14 +175,15 @@ def plan_records(pages: DataFrame) -> DataFrame:
 def write_warc(pages: DataFrame, folder: str, file_bytes: int = 8 << 20) -> DataFrame:
     """Archives of about file_bytes with a gzip member for each record; file, records and bytes of each.
 
-    A task that is repeated writes its files again under the same names."""
+    Each attempt of a task writes under names of its own, and only finished tasks report theirs:
+    what a lost one has left is in no report."""
 
     def write(batches):
-        made, members, size = 0, [], 0
+        made, members, size, attempt = 0, [], 0, uuid.uuid4().hex[:12]
 
         def flush():
             nonlocal made, members, size
-            name = f"pages-{TaskContext.get().partitionId():08d}-{made:05d}.warc.gz"
+            name = f"pages-{TaskContext.get().partitionId():08d}-{made:05d}-{attempt}.warc.gz"
             put_file(folder, name, b"".join(members))
             row = pa.RecordBatch.from_pydict({"file": [name], "records": [len(members)], "bytes": [size]}, schema=schema)
             made, members, size = made + 1, [], 0
@@ -207,36 +208,58 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = 8 << 20) -> Data
 READ = "file string, status string, gap_start long, gap_end long, reason string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
+SCHEMA = pa.schema([("file", pa.string()), ("status", pa.string()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("reason", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+
+
+def number(x: str | None) -> int | None:
+    return int(x) if x is not None and re.fullmatch(r"-?\d+", x) else None
+
+
+def rows_of(name: str, data: bytes):
+    """Rows of SCHEMA of one archive."""
+    for status, start, end, info, block in salvage(data):
+        if status == "gap":
+            yield name, status, start, end, info, None, None, None, None, None, None, None
+            continue
+        kind, payload = info.get("warc-type", ""), body(block)
+        if kind == "response":
+            digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
+            if info.get("warc-payload-digest", f"sha256:{digest}") != f"sha256:{digest}":
+                yield name, "gap", start, end, "the payload digest differs", None, None, None, None, None, None, None
+                continue
+        else:
+            digest, size = info.get("warc-payload-digest", ":").partition(":")[2], number(info.get("x-payload-length"))
+        yield name, status, start, end, None, number(info.get("x-page-id")), info.get("warc-target-uri"), kind, digest, size, number(info.get("x-refers-to-page-id")), payload
+
+
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record that passes its checks (status record) and every quarantined range of bytes (status gap)."""
-    schema = pa.schema([("file", pa.string()), ("status", pa.string()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("reason", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+    """Every record that passes its checks (status record) and every quarantined range of bytes (status gap) of all archives in a folder."""
 
     def parse(batches):
-        def number(x):
-            return int(x) if x is not None and re.fullmatch(r"-?\d+", x) else None
+        found = (row for batch in batches for path, data in zip(batch.column("path").to_pylist(), batch.column("content")) for row in rows_of(path.rsplit("/", 1)[-1], data.as_py()))
+        yield from batched(found, SCHEMA, 500)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
+    return files.mapInArrow(parse, READ)
+
+
+def read_reported(report: DataFrame, folder: str) -> DataFrame:
+    """As read_warc, of the archives in a report of write_warc. An archive that yields other than the
+    reported number of records is an error, after its gaps were logged in it."""
 
+    def parse(batches):
         def rows():
             for batch in batches:
-                for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                    name = path.rsplit("/", 1)[-1]
-                    for status, start, end, info, block in salvage(data.as_py()):
-                        if status == "gap":
-                            yield name, status, start, end, info, None, None, None, None, None, None, None
-                            continue
-                        kind, payload = info.get("warc-type", ""), body(block)
-                        if kind == "response":
-                            digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
-                            if info.get("warc-payload-digest", f"sha256:{digest}") != f"sha256:{digest}":
-                                yield name, "gap", start, end, "the payload digest differs", None, None, None, None, None, None, None
-                                continue
-                        else:
-                            digest, size = info.get("warc-payload-digest", ":").partition(":")[2], number(info.get("x-payload-length"))
-                        yield name, status, start, end, None, number(info.get("x-page-id")), info.get("warc-target-uri"), kind, digest, size, number(info.get("x-refers-to-page-id")), payload
-
-        yield from batched(rows(), schema, 500)
+                for name, records in zip(batch.column("file").to_pylist(), batch.column("records").to_pylist()):
+                    found = list(rows_of(name, get_file(folder, name)))
+                    gaps = [f"{x[2]} to {x[3]}: {x[4]}" for x in found if x[1] == "gap"]
+                    if gaps or len(found) != records:
+                        raise ValueError(f"{name}: {len(found) - len(gaps)} of {records} records, gaps {gaps}")
+                    yield from found
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
-    return files.mapInArrow(parse, READ)
+        yield from batched(rows(), SCHEMA, 500)
+
+    return report.select("file", "records").repartition("file").mapInArrow(parse, READ)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
@@ -244,16 +267,9 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
 
     Null html is an empty payload; a null page_id is written without an id, never is an original
     while its payload has another id, and comes back as null; rows that repeat the smallest page_id
-    are responses all; a url's control characters are escaped and it may have any length; a gap in the
-    archives is an error; an empty table gives no rows; other columns are ignored."""
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "warc")
+    are responses all; a url's control characters are escaped and it may have any length; a record that
+    isn't read back is an error; an empty table gives no rows; other columns are ignored."""
+    scratch = Scratch(pages.sparkSession, "warc")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    written = write_warc(pages, scratch.path("archives")).agg(F.sum("records")).first()[0]
-    scratch.release()
-    if not written:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    found = read_warc(spark, scratch.path("archives"))
-    # What was written here is whole, so a gap is an error and no row is left out.
-    lost = F.raise_error(F.concat_ws(" ", F.lit("a gap in"), "file", F.lit("from"), "gap_start", F.lit("to"), "gap_end", F.lit(":"), "reason"))
-    return found.where(F.when(F.col("status") == "record", True).otherwise(lost.cast("boolean"))).select(*columns)
+    report = scratch.save(write_warc(pages, scratch.path("archives")), "report")
+    return read_reported(report, scratch.path("archives")).select(*columns)
