@@ -36,9 +36,14 @@ def make(seed):
         words = [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 90))]
         if d % 3 == 0:
             item, text = rnd.choice(items)
-            leak = text.split()
-            for _ in range(rnd.randint(0, dec.edits_allowed(len(leak)))):
-                leak[rnd.randrange(len(leak))] = rnd.choice(vocabulary)
+            leak, n = text.split(), len(text.split())
+            for _ in range(rnd.randint(0, dec.edits_allowed(n)) // 2):
+                # An insertion and a deletion, or two substitutions: windows have the item's length.
+                if rnd.random() < 0.5:
+                    leak.insert(rnd.randrange(n), rnd.choice(vocabulary))
+                    leak.pop(rnd.randrange(n))
+                else:
+                    leak[rnd.randrange(n)], leak[rnd.randrange(n)] = rnd.choice(vocabulary), rnd.choice(vocabulary)
             at = rnd.randint(0, len(words))
             words[at:at] = [w.upper() + rnd.choice(["", ",", "."]) for w in leak]
             planted[d] = item
@@ -46,8 +51,29 @@ def make(seed):
     return docs, items, planted
 
 
+def plain(text):
+    """Words as the contract of the operator has them, written apart from it."""
+    words = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in text.split()]
+    return ["".join(c for c in w if not c.isascii() or c.isalnum()) or w for w in words]
+
+
 def numbers(text, known={}):
-    return np.array([known.setdefault(w, len(known)) for w in dec.tokens(text)], int)
+    return np.array([known.setdefault(w, len(known)) for w in plain(text)], int)
+
+
+def test_words():
+    same = dec.tokens("It's ITS its, (its) --- --- é! É " + "w" * 80 + " " + "W" * 40 + "-" + "w" * 40 + " .")
+    assert len(same) == 11 and len(set(same[:4].tolist())) == 1 and same[4] == same[5] and same[6] != same[7]
+    assert same[8] == same[9] and len(set(same.tolist())) == 6
+
+
+def test_every_text_of_an_item_is_looked_for(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (2, "a b c d e f g"), (2, "a b c d e f g")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x seven eight nine ten eleven twelve y"), (2, "one two three four five six seven"), (3, "nothing of this kind is here at all")], "doc_id long, text string")
+    for most in (20_000, 1):
+        monkeypatch.setattr(dec, "PASS_ITEMS", most)
+        assert sorted((r.doc_id, r.item_id, r.distance, r.start, r.n_words) for r in dec.contaminated(docs, bench).collect()) == [(1, 1, 0, 1, 6), (2, 1, 0, 0, 6)]
+        assert [r.doc_id for r in dec.decontaminate(docs, bench).collect()] == [3]
 
 
 def brute(docs, items):

@@ -5,18 +5,22 @@ from veilspark.llm import lines
 
 
 def whole(rows):
-    """Lines left and gone where every run of SHORTEST lines with any earlier place goes; no hashes, no fingerprints."""
+    """Lines left and gone where every run of SHORTEST lines, or of fewer with LONG words, with any earlier place goes; no hashes, no fingerprints."""
     k = lines.SHORTEST
     rank = lambda i: -(2**63) if i is None else i
     full = [[x.strip(BLANK) for x in (t or "").split("\n") if x.strip(BLANK)] for _, t in rows]
-    runs = [[tuple(f[p : p + k]) for p in range(len(f) - k + 1)] for f in full]
+    runs = [[(p, tuple(f[p : p + n])) for n in range(1, k + 1) for p in range(len(f) - n + 1) if n == k or sum(len(x.encode().split()) for x in f[p : p + n]) >= lines.LONG] for f in full]
     first = {}
     for (i, _), held in zip(rows, runs):
-        for run in held:
+        for _, run in held:
             first[run] = min(first.get(run, rank(i)), rank(i))
     out = []
     for (i, t), f, held in zip(rows, full, runs):
-        gone = {q for p, run in enumerate(held) if first[run] < rank(i) or run in held[:p] for q in range(p, p + k)}
+        gone, met = set(), set()
+        for p, run in held:
+            if first[run] < rank(i) or run in met:
+                gone.update(range(p, p + len(run)))
+            met.add(run)
         kept, n = [], 0
         for x in (t or "").split("\n"):
             full_line = bool(x.strip(BLANK))

@@ -3,6 +3,7 @@ folder, files written from tasks, document keys, word hashing and connected comp
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import posixpath
 import tempfile
@@ -114,16 +115,26 @@ def real_id(column: str = "doc"):
 _caches: list = []
 
 
-def using(cache):
+def using(cache=None):
     """This cache, with all other operators' caches of the worker emptied: a worker serves one stage after another."""
     for other in _caches:
-        if other is not cache:
+        if other is not cache and other:
             other.clear()
-    if not any(other is cache for other in _caches):
+            trim()
+    if cache is not None and not any(other is cache for other in _caches):
         _caches.append(cache)
     return cache
 
 
+def trim() -> None:
+    """Gives free memory back to the system: idle workers stay beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -155,6 +166,7 @@ LONG_WORD = 64
 
 def text_blocks(column: pa.Array, size: int = 1 << 18):
     """The texts of a column by groups of about `size` bytes, as (bytes in a row, where each text begins, and the end); null is empty."""
+    using()
     if column.null_count:
         column = column.fill_null("")
     wide = "<i8" if pa.types.is_large_string(column.type) else "<i4"
@@ -172,11 +184,12 @@ def one_text(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, codes: np.ndarray = CODES) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, bounds: np.ndarray, codes: np.ndarray = CODES, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in a row, and the number of words of each text.
 
     Words are runs of other than ASCII white space; no word runs over a text's end. A word's hash is
-    a sum over its bytes of their codes times powers, taken from sums over the whole row."""
+    a sum over its bytes of their codes times powers, taken from sums over the whole row. kept: which
+    bytes count; a word that has none of these is hashed whole."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
@@ -190,10 +203,26 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, codes: np.ndarray = CODES)
     stop[inner - 1] = word[inner - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes[data] * powers(ODD, n), out=sums[1:])
-    found = mix((sums[ends] - sums[starts]) * powers(INVERSE, n)[starts])
-    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
-        found[k] = xxhash.xxh3_64_intdigest(codes[data[starts[k] : ends[k]]].tobytes())
+    place = starts
+    if kept is None:
+        np.cumsum(codes[data] * powers(ODD, n), out=sums[1:])
+    else:
+        # Bytes that don't count have no place among the powers.
+        counts = kept[data]
+        before = np.zeros(n + 1, np.int64)
+        np.cumsum(counts, out=before[1:])
+        np.cumsum(np.where(counts, codes[data] * powers(ODD, n)[before[:n]], np.uint64(0)), out=sums[1:])
+        place = before[starts]
+    found = mix((sums[ends] - sums[starts]) * powers(INVERSE, n)[place])
+    odd = ends - starts > LONG_WORD
+    if kept is not None:
+        odd |= before[ends] == before[starts]
+    for k in np.flatnonzero(odd).tolist():
+        own = data[starts[k] : ends[k]]
+        if kept is not None and before[ends[k]] > before[starts[k]]:
+            own = own[kept[own]]
+        if kept is None or len(own) > LONG_WORD or not kept[own[0]]:
+            found[k] = xxhash.xxh3_64_intdigest(codes[own].tobytes())
     return found, np.diff(np.searchsorted(starts, bounds))
 
 
@@ -219,6 +248,7 @@ def batched(rows, schema: pa.Schema, size: int = 20_000):
             block = []
     if block:
         yield to_batch(block, schema)
+    trim()
 
 
 def to_batch(block: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

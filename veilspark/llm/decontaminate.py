@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import INVERSE, ODD, batched, grams, keyed, mix, powers, real_id, small_batches
+from veilspark.llm.common import FOLDED, INVERSE, ODD, Scratch, batched, grams, keyed, mix, one_text, powers, real_id, text_blocks, word_hashes
 
 #: An item is found in a window of its own length within EDITS[0] / EDITS[1] of its words in edits.
 EDITS = (1, 5)
@@ -22,27 +22,48 @@ WALKS, SAMPLES, PLACES = 2, 16, 3
 PASS_ITEMS, PASS_WORDS = 20_000, 2_000_000
 PAD = np.uint64(0)
 
-_marks = re.compile(rb"[^0-9a-z\x80-\xff]+")
+#: Bytes that a word is compared by: digits, letters in either case and whatever isn't ASCII.
+KEPT = np.zeros(256, bool)
+KEPT[48:58] = KEPT[65:91] = KEPT[97:123] = KEPT[128:] = True
 
 
-def plain(word: bytes) -> bytes:
-    """A lower-case word without ASCII marks; a word of marks alone stays."""
-    return word if word.isalnum() else _marks.sub(b"", word) or word
+def plain_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-case words of texts in a row without their ASCII marks, and how many each text has; a word of marks alone stays."""
+    return word_hashes(data, bounds, FOLDED, KEPT)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [plain(w) for w in (text or "").encode("utf-8", "replace").lower().split()]
+def tokens(text: str | None) -> np.ndarray:
+    return plain_words(*one_text((text or "").encode("utf-8", "replace")))[0]
 
 
-class Codes(dict):
+class Codes:
     """Numbers of the words of a pass's items, from 2 on; 1 is any other word, which no item holds, and 0 parts documents."""
 
-    def __missing__(self, word: bytes) -> int:
-        return 1 if word.isalnum() else self.get(plain(word), 1)
+    #: Bits of a first look, which spares most words the search.
+    LOOK = 18
+
+    def __init__(self, items: list[np.ndarray]):
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *items]))
+        self.may = np.zeros(1 << self.LOOK, bool)
+        self.may[self.known & np.uint64((1 << self.LOOK) - 1)] = True
+
+    def of(self, hashed: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashed), np.uint64)
+        at = np.flatnonzero(self.may[hashed & np.uint64((1 << self.LOOK) - 1)])
+        place = np.minimum(np.searchsorted(self.known, hashed[at]), max(0, len(self.known) - 1))
+        same = self.known[place] == hashed[at] if len(self.known) else np.zeros(0, bool)
+        out[at[same]] = place[same].astype(np.uint64) + np.uint64(2)
+        return out
 
     def array(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return self.of(tokens(text))
+
+    def arrays(self, texts: pa.Array) -> list[np.ndarray]:
+        out = []
+        for data, bounds in text_blocks(texts):
+            hashed, counts = plain_words(data, bounds)
+            out += np.split(self.of(hashed), np.cumsum(counts)[:-1])
+        return out
 
 
 def edits_allowed(n: int) -> int:
@@ -120,11 +141,13 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
 
 @dataclass
 class Index:
-    """What one pass looks for: items by length, with the sampled keys of each."""
+    """What one pass looks for: texts of items by length, with the sampled keys of each."""
 
+    #: The item_id of each text.
+    names: list[int]
     codes: Codes
     items: dict[int, np.ndarray]
-    #: For each length the ids and, row by row, the words of its items.
+    #: For each length the numbers of its texts and, row by row, their words.
     by_length: dict[int, tuple[np.ndarray, np.ndarray]]
     grams: dict[int, np.ndarray]
     keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
@@ -134,9 +157,10 @@ class Index:
     BLOCK = 8_192
 
     @classmethod
-    def build(cls, found: list[tuple[int, list[bytes]]]) -> Index:
-        codes = Codes({w: k for k, w in enumerate(dict.fromkeys(w for _, words in found for w in words), 2)})
-        items = [(i, np.array([codes[w] for w in words], np.uint64)) for i, words in found]
+    def build(cls, found: list[tuple[int, np.ndarray]]) -> Index:
+        """found: item_id and hashed words; an item_id may have several texts."""
+        codes = Codes([words for _, words in found])
+        items = [(k, codes.of(words)) for k, (_, words) in enumerate(found)]
         of = dict(items)
         seen = {q: np.unique(np.concatenate([grams(x, q) for _, x in items])) for q in (2, 3)}
         keys, by_length, lengths = {}, {}, sorted({len(x) for _, x in items})
@@ -149,7 +173,7 @@ class Index:
                 order = np.argsort(flat, kind="stable")
                 keys[length, walk] = flat[order], owner[order]
             by_length[length] = ids, text.reshape(len(ids), length)
-        return cls(codes, of, by_length, seen, keys, lengths)
+        return cls([i for i, _ in found], codes, of, by_length, seen, keys, lengths)
 
     def windows(self, text: np.ndarray):
         """(length, starts) of windows with enough pairs and triples of neighbouring words that some item has.
@@ -200,9 +224,9 @@ class Index:
         pairs = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
         return pairs // len(starts), pairs % len(starts)
 
-    def search(self, texts: list[np.ndarray]) -> list[dict[int, tuple[int, int]]]:
-        """For each document, item: (least distance, first word of such a window) of every item found in it."""
-        found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+    def search(self, texts: list[np.ndarray]) -> list[dict[int, tuple[int, int, int]]]:
+        """For each document, item_id: (least distance, first word and length of such a window) of every item found in it."""
+        found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
         if not texts:
             return found
         text = np.concatenate([part for x in texts for part in (x, np.zeros(1, np.uint64))])
@@ -223,32 +247,27 @@ class Index:
                     where = starts[same]
                     distance = edit_distances(self.by_length[length][1][row], text[where[:, None] + span], most)
                     for hit in np.flatnonzero(distance <= most):
-                        item, group = int(self.by_length[length][0][row[hit]]), at + int(same[hit])
+                        item, group = self.names[self.by_length[length][0][row[hit]]], at + int(same[hit])
                         for start in windows[order[bounds[group] : bounds[group + 1]]].tolist():
                             doc = int(np.searchsorted(begin, start, "right")) - 1
-                            new = int(distance[hit]), start - int(begin[doc])
+                            new = int(distance[hit]), start - int(begin[doc]), length
                             found[doc][item] = min(found[doc].get(item, new), new)
         return found
 
-    def matches(self, text: np.ndarray) -> dict[int, tuple[int, int]]:
-        return self.search([text])[0]
-
 
 def passes(benchmark: DataFrame):
-    """Items in groups of bounded size, in order of item_id; the driver holds one group at a time."""
-    held, size = [], 0
-    chosen = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    seen = set()
+    """Items in groups of bounded size, in order of item_id; the driver holds one group at a time. The texts of an item are in one group."""
+    held, size, last = [], 0, None
+    chosen = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     for row in chosen.orderBy("item_id", "text").toLocalIterator():
         words = tokens(row.text)
-        if len(words) < LEAST_WORDS or row.item_id in seen:
+        if len(words) < LEAST_WORDS:
             continue
-        if held and (len(held) >= PASS_ITEMS or size + len(words) > PASS_WORDS):
+        if held and row.item_id != last and (len(held) >= PASS_ITEMS or size + len(words) > PASS_WORDS):
             yield Index.build(held)
-            held, size, seen = [], 0, set()
+            held, size = [], 0
         held.append((row.item_id, words))
-        seen.add(row.item_id)
-        size += len(words)
+        size, last = size + len(words), row.item_id
     if held:
         yield Index.build(held)
 
@@ -262,48 +281,55 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     meets with probability 1 - (1 - 2^-3)^32 > 0.98; equal windows always meet. Every meeting is
     verified. Where several windows match, the closest and then the first counts.
 
-    A benchmark of more than PASS_ITEMS items or PASS_WORDS words is searched in several passes.
-    Null and empty texts hold nothing; items without id, text or LEAST_WORDS words are never found;
-    of items with one id in a pass the first text counts; a null doc_id stays null; repeated rows
-    are reported as often as they occur; without documents or items there are no rows; other
-    columns are ignored."""
+    A benchmark of more than PASS_ITEMS items or PASS_WORDS words is searched in several passes, each
+    a job of its own, so that executors hold one index at a time. Null and empty texts hold nothing;
+    items without id, text or LEAST_WORDS words are never found; of several texts of an item the
+    closest, then the first found counts; a null doc_id stays null; repeated rows are reported as
+    often as they occur; without documents or items there are no rows; other columns are ignored."""
     spark = docs.sparkSession
-    small_batches(spark)
+    scratch = Scratch(spark, "decontaminate")
     rows = keyed(docs).select("doc", "text")
     schema = pa.schema([("doc", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("n_words", pa.int32())])
-    out = None
+    made = []
     for index in passes(benchmark):
+        if made:
+            made[-1] = scratch.save(made[-1], f"pass-{len(made)}")
+            known.unpersist()
         known = spark.sparkContext.broadcast(index)
 
         def run(batches, known=known):
             def found():
                 for batch in batches:
-                    texts = [known.value.codes.array(x.as_py()) for x in batch.column("text")]
+                    texts = known.value.codes.arrays(batch.column("text"))
                     for doc, hits in zip(batch.column("doc").to_pylist(), known.value.search(texts)):
-                        for item, (distance, start) in sorted(hits.items()):
-                            yield doc, item, distance, start, len(known.value.items[item])
+                        for item, (distance, start, length) in sorted(hits.items()):
+                            yield doc, item, distance, start, length
 
             yield from batched(found(), schema)
 
-        part = rows.mapInArrow(run, "doc long, item_id long, distance int, start long, n_words int")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        made.append(rows.mapInArrow(run, "doc long, item_id long, distance int, start long, n_words int"))
+    if not made:
         return spark.createDataFrame([], "doc_id long, item_id long, distance int, start long, n_words int")
+    out = reduce(DataFrame.unionByName, made)
     return out.select(real_id().alias("doc_id"), "item_id", "distance", "start", "n_words")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item is found, with all their columns; one scan, nothing is joined.
+    """The rows of docs in which no item is found, with all their columns; one scan a pass, nothing is joined.
 
     As contaminated() in every case; null and empty texts stay."""
     spark = docs.sparkSession
-    small_batches(spark)
-    for index in passes(benchmark):
+    scratch = Scratch(spark, "decontaminate")
+    known = None
+    for turn, index in enumerate(passes(benchmark)):
+        if known is not None:
+            docs = scratch.save(docs, f"pass-{turn}")
+            known.unpersist()
         known = spark.sparkContext.broadcast(index)
 
         def run(batches, known=known):
             for batch in batches:
-                hits = known.value.search([known.value.codes.array(x.as_py()) for x in batch.column("text")])
+                hits = known.value.search(known.value.codes.arrays(batch.column("text").cast(pa.string())))
                 yield batch.filter(pa.array([not x for x in hits], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
