@@ -14,8 +14,10 @@ from veilspark.llm.common import Scratch, batched
 EXACT = 2**53
 #: What a long holds; scores beyond count as its ends.
 LEAST, MOST = -(2**63), 2**63 - 1
-#: How far the lists are read before the bounds are looked at again; beyond the last, to their ends.
-DEPTHS = (1 / 16, 1 / 4, 1 / 2, 0.65, 0.8, 0.9, 0.95)
+#: How far the lists are read before the bounds are looked at again.
+DEPTHS = (1 / 8, 1 / 2, 0.65, 0.75, 0.85, 0.92, 0.96, 0.99)
+#: Reading stops where no more than this part of a block, or 4 k, is in question.
+FEW = 1 / 100
 
 
 class Lists:
@@ -27,8 +29,9 @@ class Lists:
         self.ids, self.rows = ids, rows
         self.n, self.d = rows.shape
         up = np.argsort(rows, axis=0, kind="stable").T
-        values = np.take_along_axis(rows.T, up, 1)
-        # Row 2 j is dimension j from the smallest value on, row 2 j + 1 from the largest.
+        values = np.take_along_axis(rows.T, up, 1).astype(np.float32)
+        # Row 2 j is dimension j from the smallest value on, row 2 j + 1 from the largest; who: places in a table of dimensions by candidates.
+        up = up + self.n * np.arange(self.d)[:, None]
         self.who = np.stack([up, up[:, ::-1]], 1).reshape(2 * self.d, self.n)
         self.values = np.stack([values, values[:, ::-1]], 1).reshape(2 * self.d, self.n)
         self.read = self.asked = self.resolved = 0
@@ -39,39 +42,37 @@ class Lists:
         Each dimension's list is read in sequence from the end with the larger products. What was
         seen of a candidate adds up; of what wasn't, a product lies between the list's last and the
         one just read. That gives each candidate a lower and an upper bound of its score. Reading
-        stops once no more than the k with the largest lower bounds and a few others can reach the
-        k-th of these, or the floor, and the scores of those are resolved. Lists that end first give
-        the scores themselves."""
+        stops once no more than the k with the largest lower bounds and a FEW others can reach the
+        k-th of these, or the floor, or at the last of DEPTHS, and the scores of those are resolved."""
         if not self.d or not self.n:
             return [(i, 0.0) for i in range(self.n) if own is None or self.ids[i] != own]
         lists = 2 * np.arange(self.d) + (query >= 0)
         others = np.ones(self.n, bool) if own is None else self.ids != own
-        worst = query * self.values[lists, -1]
-        partial, seen = np.zeros(self.n), np.zeros((self.d, self.n), np.float32)
-        slots, at, left = self.n * np.arange(self.d)[:, None], 0, others
-        slack = 1e-5 * (1 + float(np.abs(worst).sum() + np.abs(query * self.values[lists, 0]).sum()))
+        weights = query.astype(np.float32)
+        worst = weights * self.values[lists, -1]
+        # What each product that was seen lies above the list's last; 0 where nothing was seen.
+        above, at, left = np.zeros((self.d, self.n), np.float32), 0, others
+        slack = 1e-5 * (1 + float(np.abs(worst).sum() + np.abs(weights * self.values[lists, 0]).sum()))
         self.asked += self.n * self.d
-        for depth in (*DEPTHS, 1.0):
-            to = min(self.n, max(at + 1, int(self.n * depth)))
-            who = self.who[lists, at:to]
-            products = self.values[lists, at:to] * query[:, None]
-            partial += np.bincount(who.ravel(), products.ravel(), self.n)
-            self.read += products.size
-            if to == self.n:
+        for depth in DEPTHS:
+            to = max(at + 1, int(self.n * depth))
+            if to >= self.n:
                 break
-            seen.reshape(-1)[(who + slots).ravel()] = 1
+            products = self.values[lists, at:to] * weights[:, None]
+            above.reshape(-1)[self.who[lists, at:to].ravel()] = (products - worst[:, None]).ravel()
+            self.read += products.size
             at = to
-            # What the dimensions that weren't seen add at least and at most.
-            unseen = np.stack([worst, products[:, -1]])
-            lower, upper = partial + unseen.sum(1)[:, None] - unseen.astype(np.float32) @ seen
-            kth = max(floor, np.partition(lower[others], -k)[-k] if others.sum() >= k else -np.inf)
+            lower = above.sum(0) + worst.sum()
+            # A product that wasn't seen is at most the one just read.
+            upper = lower + (products[:, -1] - worst) @ (above == 0).astype(np.float32)
+            kth = max(floor, float(np.partition(lower[others], -k)[-k]) if others.sum() >= k else -np.inf)
             left = others & (upper >= kth - slack)
-            if left.sum() <= 4 * k:
+            if left.sum() <= max(4 * k, self.n * FEW):
                 break
         place = np.flatnonzero(left)
-        self.resolved += len(place) if at < self.n and to < self.n else 0
-        # In whole numbers, whatever the order of additions was.
-        scores = self.rows[place] @ query if to < self.n else np.rint(partial[place])
+        self.resolved += len(place)
+        # In whole numbers, which bounds in single precision with their slack only select.
+        scores = self.rows[place] @ query
         if len(place) > k:
             kth = np.partition(scores, -k)[-k]
             place, scores = place[scores >= kth], scores[scores >= kth]
