@@ -6,52 +6,10 @@ BLANK = " \t\n\x0b\x0c\r"
 
 
 def brute(spark, rows):
-    """The same rule in plain Python; line and gram hashes are Spark's, so that minima agree."""
-    full = [[x.strip(BLANK) for x in (t or "").split("\n") if x.strip(BLANK)] for _, t in rows]
-    k, w = lines.GRAM, lines.WINDOW
-    grams = sorted({tuple(f[i : i + k]) for f in full for i in range(len(f) - k + 1)})
-    frame = spark.createDataFrame([(list(g),) for g in grams] or [([""],)], "g array<string>")
-    value = {tuple(r.g): r.h for r in frame.selectExpr("g", "xxhash64(transform(g, x -> xxhash64(x))) AS h").collect()}
-    rank = lambda i: -(2**63) if i is None else i
-    marks = []
-    for d, f in enumerate(full):
-        hashed = [value[tuple(f[i : i + k])] for i in range(len(f) - k + 1)]
-        chosen = {min(range(j, min(j + w, len(hashed))), key=lambda p: (hashed[p], -p)) for j in range(max(1, len(hashed) - w + 1)) if hashed}
-        marks.append({p: hashed[p] for p in chosen})
-    first = {}
-    for d, (i, _) in enumerate(rows):
-        for p, h in marks[d].items():
-            if h not in first or (rank(i), p) < (rank(rows[first[h][0]][0]), first[h][1]):
-                first[h] = (d, p)
-    out = []
-    for d, (i, t) in enumerate(rows):
-        gone = set()
-        for p, h in marks[d].items():
-            e, q = first[h]
-            if (rank(i), p) <= (rank(rows[e][0]), q) or (rows[e][0] == i and e != d and full[e] != full[d]):
-                continue
-            shift, agree = p - q, []
-            for x in range(max(0, shift), min(len(full[d]), len(full[e]) + shift)):
-                if full[d][x] == full[e][x - shift]:
-                    agree.append(x)
-            run = []
-            for x in [*agree, None]:
-                if run and (x is None or x != run[-1] + 1):
-                    if len(run) >= lines.SHORTEST:
-                        gone |= set(run)
-                    run = []
-                if x is not None:
-                    run.append(x)
-        kept, n = [], 0
-        for x in (t or "").split("\n"):
-            if x.strip(BLANK):
-                if n not in gone:
-                    kept.append(x)
-                n += 1
-            else:
-                kept.append(x)
-        out.append((i, "\n".join(kept), len(full[d]), len(gone)))
-    return sorted(map(str, out))
+    """Every earlier run, from the contract and without fingerprints: the rule by first places of fingerprints is no longer the operator's."""
+    from tests.llm.test_lines_whole import whole
+
+    return whole(rows)
 
 
 def corpus(seed):
