@@ -112,7 +112,8 @@ class Store:
         return sessions.export_session([r.asDict() for r in self.pool(session_id).collect()], session_id, passphrase, self.spark)
 
     def import_(self, data: bytes, passphrase: str, overwrite: bool = False) -> str:
-        have = {r.session_id for r in self.pool().select("session_id").distinct().collect()}
-        found = sessions.import_session(data, passphrase, self.spark, have, overwrite)
+        found = sessions.import_session(data, passphrase, self.spark)
+        if not overwrite and not self.pool().where(F.col("session_id") == found["session_id"]).isEmpty():
+            raise sessions.ArchiveError("exists", f"session {found['session_id']} exists already")
         sessions.save(self.spark.createDataFrame([tuple(r[k] for k in self.pool().columns) for r in found["pool"]], pools.POOL), f"{self.path}/pool")
         return found["session_id"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,16 @@ def spans_table(df: DataFrame, *keys: str) -> DataFrame:
 # ---------------------------------------------------------------- recognizers as columns
 
 
+#: A sign that every match of a pattern holds.
+SIGNS = {"email": "@", "phone_intl": "+", "phone_us_paren": "("}
+
+
+def may_match(text: Column, pattern: registry.Pattern) -> Column:
+    """Whether a text holds what every match of a pattern does: a sign or a digit, found without the pattern itself."""
+    sign = text.contains(SIGNS[pattern.name]) if pattern.name in SIGNS else F.lit(True)
+    return sign & text.rlike("[0-9]") if pattern.digits else sign
+
+
 def matches(text: Column, pattern: registry.Pattern) -> Column:
     """Places of all matches of a pattern as array<struct<start,end,text>>, within generated code.
 
@@ -90,7 +101,7 @@ def matches(text: Column, pattern: registry.Pattern) -> Column:
         end = begin + F.length(x["hit"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
 
-    return F.when(text.rlike(regex), F.aggregate(both, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    return F.when(may_match(text, pattern) & text.rlike(regex), F.aggregate(both, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
 def window(text: Column, start: Column, end: Column, before: int, after: int) -> Column:
@@ -101,9 +112,8 @@ def window(text: Column, start: Column, end: Column, before: int, after: int) ->
 
 def boosted(text: Column, start: Column, end: Column, words: tuple[str, ...], score: float) -> Column:
     near = F.regexp_replace(F.lower(window(text, start, end, CONTEXT_CHARS, CONTEXT_CHARS)), r"\s+", " ")
-    hit = F.lit(False)
-    for w in one.context_words(words):
-        hit = hit | near.contains(w)
+    # An array of one binds the window, so that it is cut out once for all words.
+    hit = F.exists(F.array(near), lambda n: reduce(lambda a, b: a | b, [n.contains(w) for w in one.context_words(words)]))
     return F.when(hit, F.least(F.lit(1.0), F.lit(score) + F.lit(BOOST))).otherwise(F.lit(score))
 
 
@@ -121,6 +131,11 @@ def guard(kind: str, text: Column, start: Column, end: Column, body: Column) ->
         around = F.concat(window(text, start, start, 60, 0), window(text, end, end, 0, 60))
         refs = rf"(?i){registry.JAVA_BOUNDARY}(?:order[\s/]*no|document[\s/]*no|ref(?:erence)?[\s./]*no|license[\s/]*no|contract[\s/]*no|form[\s/]*no|page\s+\d)"
         return ~around.rlike(refs) & ~around.rlike(rf"(?i)©|copyright|{registry.JAVA_BOUNDARY}page{registry.JAVA_BOUNDARY}|{registry.JAVA_BOUNDARY}initial")
+    if kind == "ORGANIZATION":
+        word = lambda regex: f"{registry.JAVA_BOUNDARY}(?:{regex}){registry.JAVA_BOUNDARY}"
+        clause = body.rlike("(?i)" + word(r"(?:NOT|BUT|OR|AND)\s+LIMITED")) | body.rlike(word("EXPRESS|IMPLIED|INCLUDING|WARRANTIES|MERCHANTABILITY|FITNESS"))
+        listed = body.contains(",") & body.rlike("(?i)" + word(r"(?:A|An|The)\s+(?:Partnership|LLC|LLP|Corporation|Limited)"))
+        return ~clause & ~listed
     return F.lit(True)
 
 
@@ -183,6 +198,16 @@ def type_counts(spans: DataFrame) -> DataFrame:
     return spans.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
 
 
+def report(df: DataFrame, *keys: str, text: str = "text", first: int = 25) -> DataFrame:
+    """Of each text with spans: chars, entities, by_type (most frequent first) and sample, a line for each of the first spans."""
+    kinds = F.array_distinct(F.transform("spans", lambda s: s["type"]))
+    counted = F.transform(kinds, lambda t: F.struct((-F.size(F.filter("spans", lambda s: s["type"] == t))).alias("less"), t.alias("type")))
+    by_type = F.array_join(F.transform(F.array_sort(counted), lambda x: F.concat(x["type"], F.lit(" "), (-x["less"]).cast("string"))), ", ")
+    short = lambda s: F.when(F.length(s["text"]) > 50, F.concat(F.substring(s["text"], 1, 47), F.lit("..."))).otherwise(s["text"])
+    line = lambda s: F.concat(F.lit("["), s["type"], F.lit("] "), short(s), F.lit(" (score="), F.format_number(s["score"], 2), F.lit(")"))
+    return df.select(*keys, F.length(text).alias("chars"), F.size("spans").alias("entities"), by_type.alias("by_type"), F.array_join(F.transform(F.slice("spans", 1, first), line), "\n").alias("sample"))
+
+
 def propagated(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds to spans every further occurrence of what they name."""
     revive = lambda body, spans: one.propagate(body, [one.Span(s["start"], s["end"], s["type"], s["score"], s["reason"], s["text"], s["verified"]) for s in spans or []])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import registry
+from veilspark.operators.stored import stored
 
 POOL = "session_id string, type string, norm string, family long, variant int, placeholder string, raw string, first_ord long, first_start int"
 
@@ -54,9 +55,19 @@ def mentions(spans: DataFrame) -> DataFrame:
 
 
 def exact_pool(spans: DataFrame, prefix: str = "") -> DataFrame:
-    """A new pool without families: entities are numbered by first appearance. Columns and one window only."""
-    order = Window.partitionBy("session_id", "type").orderBy("first_ord", "first_start", "norm")
-    numbered = mentions(spans).withColumn("family", F.row_number().over(order).cast("long"))
+    """A new pool without families: entities are numbered by first appearance.
+
+    They are dealt by ranges of that order, numbered within each range and moved up by what the
+    ranges before hold of the session and type, so no task sees all entities of a type."""
+    order = ["first_ord", "first_start", "norm"]
+    found = stored(mentions(spans), "mentions")
+    dealt = stored(found.repartitionByRange("session_id", "type", *order).withColumn("part", F.spark_partition_id()), "ranges")
+    held = dealt.groupBy("part", "session_id", "type").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("session_id", "type").orderBy("part")) - F.col("n")
+    before = held.select(F.col("part").alias("p"), F.col("session_id").alias("s"), F.col("type").alias("t"), earlier.alias("before"))
+    own = F.row_number().over(Window.partitionBy("part", "session_id", "type").orderBy(*order))
+    here = (F.col("part") == F.col("p")) & F.col("session_id").eqNullSafe(F.col("s")) & F.col("type").eqNullSafe(F.col("t"))
+    numbered = dealt.withColumn("own", own).join(before, here).withColumn("family", (F.col("own") + F.col("before")).cast("long"))
     head = F.lit(f"<{prefix}_" if prefix else "<")
     return numbered.select("session_id", "type", "norm", "family", F.lit(0).alias("variant"), F.concat(head, tag(F.col("type")), F.lit("_"), F.col("family"), F.lit(">")).alias("placeholder"), "raw", "first_ord", "first_start")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.operators import detect as detection
 from veilspark.operators import pool as pools
+from veilspark.operators.stored import stored
 
 #: What a placeholder looks like inside a text, prefixed ones included.
 SHAPE = r"<(?:D\d+_)?[A-Z][A-Z_]*_\d+[a-z]*>"
@@ -34,7 +35,8 @@ def anonymize(docs: DataFrame, pool: DataFrame | None = None, prefix: str = "",
     the spans by a join on the entity and to the texts by one on the document. spans: what to
     replace, if it was found (and perhaps corrected) before."""
     if spans is None:
-        spans = detection.spans_table(detection.detect(docs, **options), "session_id", "doc_id", "ord")
+        # The pool and the placeholders both read the spans: they are found once.
+        spans = stored(detection.spans_table(detection.detect(docs.select("session_id", "doc_id", "ord", "text"), **options), "session_id", "doc_id", "ord"), "spans")
     new = pools.build_pool(spans, pool, prefix, ratio)
     assigned = pools.assign(spans, new)
     grouped = assigned.groupBy("session_id", "doc_id").agg(F.collect_list(F.struct("start", "end", "placeholder")).alias("replaced"))

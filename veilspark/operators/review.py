@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as one
 from veilspark.operators import detect as detection
-from veilspark.operators.pool import lookup, norm
+from veilspark.operators.pool import lookup
 
 # ---- fixed values: groups of a review screen ----
 GROUPS = {
@@ -71,14 +72,47 @@ def propagate_to_siblings(reviews: DataFrame, changes: DataFrame) -> DataFrame:
     return changes.join(open_, "session_id").where("sibling <> doc_id").select("session_id", "doc_id", "sibling", "action", "type", "text")
 
 
+def family_roots(forms: list[str]) -> list[str]:
+    """The root of each form's family. A form joins the first family whose root contains it, is contained in it or shares
+    its first word of four letters, if the shorter has four letters and at least half the length of the longer; the
+    shorter is the root from then on. Families are indexed by the grams of four letters that any of these cases shares."""
+    roots: list[str] = []
+    by_gram: dict[str, dict[int, None]] = {}
+    grams = lambda form: {form[k : k + 4] for k in range(len(form) - 3)}
+
+    def related(form: str, root: str) -> bool:
+        if min(len(form), len(root)) < 0.5 * max(len(form), len(root)):
+            return False
+        word, other = form.split()[0], root.split()[0]
+        return form in root or root in form or (len(word) >= 4 and word == other)
+
+    owners = []
+    for form in forms:
+        near = sorted({f for g in grams(form) for f in by_gram.get(g, ())})
+        family = next((f for f in near if related(form, roots[f])), len(roots))
+        if family == len(roots):
+            roots.append(form)
+        elif len(form) < len(roots[family]):
+            roots[family] = form
+        if roots[family] == form:
+            for g in grams(form):
+                by_gram.setdefault(g, {})[family] = None
+        owners.append(family)
+    return [roots[f] for f in owners]
+
+
 def families(spans: DataFrame) -> DataFrame:
-    """Entities of spans(session_id, type, text) with the root that a review screen groups them under: the shortest form
-    (then the first in order) that it contains, or whose first word of four letters it shares, in its session and type."""
-    forms = spans.groupBy("session_id", "type", norm(F.col("text")).alias("form")).agg(F.count("*").alias("n"))
-    word = F.split("form", " ")[0]
-    keyed = forms.withColumn("lead", F.when(F.length(word) >= 4, word))
-    by_word = keyed.where("lead IS NOT NULL").groupBy("session_id", "type", "lead").agg(F.min(F.struct(F.length("form").alias("size"), F.col("form").alias("root"))).alias("best"))
-    return keyed.join(by_word, ["session_id", "type", "lead"], "left").select("session_id", "type", "form", "n", F.coalesce("best.root", "form").alias("root"))
+    """Entities of spans(session_id, ord, start, type, text) with the root that a review screen groups them under, in
+    order of their first place. Families are greedy by definition, so a session's distinct forms of a type meet in one task."""
+    form = F.lower(F.trim(F.col("text")))
+    forms = spans.groupBy("session_id", "type", form.alias("form")).agg(F.count("*").alias("n"), F.min(F.struct("ord", "start")).alias("first"))
+
+    def group(data: pd.DataFrame) -> pd.DataFrame:
+        data = data.sort_values(["ord", "start", "form"])
+        return data[["session_id", "type", "form", "n"]].assign(root=family_roots(list(data.form)))
+
+    flat = forms.select("session_id", "type", "form", "n", "first.ord", "first.start")
+    return flat.groupBy("session_id", "type").applyInPandas(group, "session_id string, type string, form string, n long, root string")
 
 
 def segments(text: Column, spans: Column) -> Column:

@@ -26,6 +26,9 @@ def guard(kind: str) -> str:
     if kind == "UK_NHS":
         around = f"concat({near(60, 0, 's', 's')}, {near(0, 60, 'e', 'e')})"
         return rf"NOT regexp_matches({around}, '(?i)\b(?:order[\s/]*no|document[\s/]*no|ref(?:erence)?[\s./]*no|license[\s/]*no|contract[\s/]*no|form[\s/]*no|page\s+\d)|©|copyright|\bpage\b|\binitial')"
+    if kind == "ORGANIZATION":
+        clause = r"regexp_matches(hit, '(?i)\b(?:NOT|BUT|OR|AND)\s+LIMITED\b') OR regexp_matches(hit, '\b(?:EXPRESS|IMPLIED|INCLUDING|WARRANTIES|MERCHANTABILITY|FITNESS)\b')"
+        return rf"NOT ({clause} OR contains(hit, ',') AND regexp_matches(hit, '(?i)\b(?:A|An|The)\s+(?:Partnership|LLC|LLP|Corporation|Limited)\b'))"
     return "true"
 
 

@@ -12,6 +12,7 @@ from veilspark.functions import text as one
 from veilspark.operators import detect as det
 from veilspark.operators import pool as pools
 from veilspark.operators import redact, review, sessions
+from veilspark.operators.stored import stored
 from veilspark.plans import carriers, oracle
 from veilspark.sources import audit
 
@@ -151,6 +152,16 @@ def scan_report(spark, sf_dir):
     return found_rows(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(25)
 
 
+@query(f"""SELECT d.doc_id, length(d.text) AS chars, coalesce(n, 0) AS entities, coalesce(by_type, '') AS by_type, coalesce(sample, '') AS sample FROM documents d
+  LEFT JOIN (SELECT doc_id, sum(n) AS n, string_agg(type || ' ' || CAST(n AS VARCHAR), ', ' ORDER BY n DESC, type) AS by_type FROM (SELECT doc_id, type, count(*) AS n FROM ({SPANS_SQL}) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)
+  LEFT JOIN (SELECT doc_id, string_agg('[' || type || '] ' || CASE WHEN length(hit) > 50 THEN substr(hit, 1, 47) || '...' ELSE hit END || ' (score=' || printf('%.2f', score) || ')', chr(10) ORDER BY s) AS sample
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM ({SPANS_SQL})) WHERE k <= 25 GROUP BY doc_id) USING (doc_id)""")
+def scan_summary(spark, sf_dir):
+    """What a scan prints of each document: counts by type, and its first 25 spans, which is the report's own limit."""
+    found_in = det.report(found(spark, sf_dir), "doc_id")
+    return found_in.withColumns({c: F.col(c).cast("long") for c in ("chars", "entities")})
+
+
 NORM = r"regexp_replace(regexp_replace(trim(lower(hit)), '[.,;:]+$', ''), '\s+', ' ', 'g')"
 TAG_CASE = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in registry.TAGS.items()) + " ELSE type END"
 POOL_SQL = f"""SELECT *, '<' || {TAG_CASE} || '_' || CAST(family AS VARCHAR) || '>' AS placeholder FROM (
@@ -174,7 +185,7 @@ REDACTED_SQL = f"""SELECT d.doc_id, coalesce(r.head || substr(d.text, r.till + 1
 
 def redacted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = found(spark, sf_dir)
-    spans = det.spans_table(docs.drop("text"), "session_id", "doc_id", "ord")
+    spans = stored(det.spans_table(docs.drop("text"), "session_id", "doc_id", "ord"), "spans")
     pool = pools.exact_pool(spans)
     grouped = pools.assign(spans, pool).groupBy("session_id", "doc_id").agg(F.collect_list(F.struct("start", "end", "placeholder")).alias("replaced"))
     joined = docs.drop("spans").join(grouped, ["session_id", "doc_id"], "left")
@@ -385,12 +396,17 @@ def ui_groups(spark, sf_dir):
     return found_rows(spark, sf_dir).select(review.group_of(F.col("type")).alias("grp")).groupBy("grp").agg(F.count("*").alias("n"))
 
 
-@query(r"""WITH f AS (SELECT lower(p_name) AS form, count(*) AS n FROM part GROUP BY 1), w AS (SELECT *, CASE WHEN length(string_split(form, ' ')[1]) >= 4 THEN string_split(form, ' ')[1] END AS lead FROM f),
-  b AS (SELECT lead, arg_min(form, struct_pack(a := length(form), b := form)) AS root FROM w WHERE lead IS NOT NULL GROUP BY lead)
-  SELECT form, n, coalesce(root, form) AS root FROM w LEFT JOIN b USING (lead)""")
+MEMBERS = {"' Trading'": 1, "''": 2, "' Trading Holdings'": 1, "' Mining'": 1}
+
+
+@query("WITH f AS (SELECT CAST(c_custkey AS VARCHAR) AS k, 'zarvo' || CAST(c_custkey AS VARCHAR) AS base, c_custkey >= 100 AS wide FROM customer) " + " UNION ALL ".join(
+    f"SELECT k AS session_id, base || lower({tail}) AS form, CAST({n} AS BIGINT) AS n, CASE WHEN wide THEN base || {lower_wide} ELSE base || {lower_narrow} END AS root FROM f"
+    for (tail, n), lower_wide, lower_narrow in zip(MEMBERS.items(), ("''", "''", "' trading holdings'", "''"), ("' mining'", "''", "' mining'", "' mining'"))))
 def ui_families(spark, sf_dir):
-    spans = table(spark, sf_dir, "part").select(F.lit("s1").alias("session_id"), F.lit("ORGANIZATION").alias("type"), F.col("p_name").alias("text"))
-    return review.families(spans).select("form", "n", "root")
+    """From three digits on the short form is half of the long one, so that it is the root; below, it stands alone."""
+    forms = F.expr("array(" + ", ".join(f"concat('Zarvo', c_custkey, {tail})" for tail in MEMBERS) + ", concat(' ZARVO', c_custkey, ' '))")
+    spans = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("session_id"), F.lit(0).alias("ord"), F.lit("ORGANIZATION").alias("type"), F.posexplode(forms).alias("start", "text"))
+    return review.families(spans).select("session_id", "form", "n", "root")
 
 
 # ---------------------------------------------------------------- sessions
