@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import FOLDED, INVERSE, ODD, Scratch, batched, grams, keyed, mix, one_text, powers, real_id, text_blocks, word_hashes
+from veilspark.llm.common import FOLDED, INVERSE, ODD, Scratch, batched, grams, keyed, mix, one_text, powers, real_id, text_blocks, trim, word_hashes
 
 #: An item is found in a window of its own length within EDITS[0] / EDITS[1] of its words in edits.
 EDITS = (1, 5)
@@ -153,8 +153,8 @@ class Index:
     keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
     lengths: list[int]
 
-    #: Windows whose embeddings are held at once, and pairs that are verified at once.
-    BLOCK = 8_192
+    #: Windows whose embeddings are held at once, and pairs that are verified at once; words whose q-grams are.
+    BLOCK, PART = 8_192, 1 << 16
 
     @classmethod
     def build(cls, found: list[tuple[int, np.ndarray]]) -> Index:
@@ -209,6 +209,18 @@ class Index:
             if len(starts):
                 yield length, starts
 
+    def all_windows(self, text: np.ndarray):
+        """windows() of documents in a row, looked for in parts that end where a document does; each length once."""
+        found: dict[int, list[np.ndarray]] = {}
+        ends, begin = np.flatnonzero(text == 0) + 1, 0
+        while begin < len(text):
+            end = int(ends[min(np.searchsorted(ends, begin + self.PART), len(ends) - 1)])
+            for length, starts in self.windows(text[begin:end]):
+                found.setdefault(length, []).append(starts + begin)
+            begin = end
+        for length in sorted(found):
+            yield length, np.concatenate(found[length])
+
     def meetings(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(row of by_length, place in starts) of items and windows that share a sampled key, each once."""
         out = []
@@ -233,7 +245,7 @@ class Index:
         begin = np.cumsum([0] + [len(x) + 1 for x in texts[:-1]])
         odd, inverse = powers(ODD, len(text)), powers(INVERSE, len(text))
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text * odd)])
-        for length, windows in self.windows(text):
+        for length, windows in self.all_windows(text):
             most, span = edits_allowed(length), np.arange(length)
             # Equal windows, as monotonous texts are full of, are looked at once.
             _, first, like = np.unique((prefix[windows + length] - prefix[windows]) * inverse[windows], return_index=True, return_inverse=True)
@@ -304,6 +316,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for doc, hits in zip(batch.column("doc").to_pylist(), known.value.search(texts)):
                         for item, (distance, start, length) in sorted(hits.items()):
                             yield doc, item, distance, start, length
+                    trim()
 
             yield from batched(found(), schema)
 
@@ -331,6 +344,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 hits = known.value.search(known.value.codes.arrays(batch.column("text").cast(pa.string())))
                 yield batch.filter(pa.array([not x for x in hits], pa.bool_()))
+                trim()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

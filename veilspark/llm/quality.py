@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import FOLDED, batched, one_text, small_batches, word_hashes
+from veilspark.llm.common import FOLDED, batched, one_text, small_batches, trim, using, word_hashes
 
 #: Numbers of hash buckets for words, of structure features and of latent factors.
 BUCKETS, STATS, FACTORS = 1 << 15, 18, 6
@@ -125,6 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def extract(batches):
+        using()
+
         def rows():
             for batch in batches:
                 for text, quality in zip(batch.column("text"), batch.column("quality").to_pylist()):
@@ -146,9 +148,11 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     known = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
+        using()
         for batch in batches:
             scores = np.array([known.value.score(x.as_py()) for x in batch.column("text")], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+        trim()
 
     return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, score double, predicted int")
 

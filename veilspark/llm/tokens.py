@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import NULL_ID, Scratch, batched, put_file, real_id, using
+from veilspark.llm.common import NULL_ID, Scratch, batched, put_file, real_id, trim, using
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -54,6 +54,7 @@ class Encoder(dict):
         self.ends = np.zeros(size, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {"": b""}
+        trim()
 
     def encode(self, run: str) -> bytes:
         return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
@@ -96,6 +97,7 @@ class Encoder(dict):
             for runs in split:
                 yield b"".join(map(self.__getitem__, runs))
             self.forget()
+        trim()
 
     def forget(self) -> None:
         for known in (self, self.words):
@@ -230,6 +232,8 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple[str, in
     known = spark.sparkContext.broadcast(starts)
 
     def parse(batches):
+        using()  # nothing is encoded any more
+
         def rows():
             for batch in batches:
                 for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
@@ -310,6 +314,8 @@ def pack(docs: DataFrame, length: int = 4_096, tokenizer: str | None = None) ->
     schema = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("is_boundary", pa.bool_()), ("ids", pa.binary())])
 
     def cut(batches):
+        using()  # nothing is encoded any more
+
         def rows():
             grow = zstandard.ZstdDecompressor()
             for batch in batches:
