@@ -271,3 +271,47 @@ def test_store(spark, tmp_path):
     other = Store(spark, str(tmp_path / "other"))
     assert other.import_(store.export(sid, "secret"), "secret") == sid
     assert other.mapping(sid).count() == store.mapping(sid).count() and "raw" not in other.mapping(sid).columns
+
+
+def test_family_roots_against_a_plain_loop():
+    import random
+
+    from veilspark.operators.review import family_roots
+
+    def plain(forms):
+        roots, owners = [], []
+        for form in forms:
+            owner = None
+            for k, root in enumerate(roots):
+                size = min(len(form), len(root)) >= 0.5 * max(len(form), len(root))
+                word = form.split()[0] == root.split()[0] and len(form.split()[0]) >= 4
+                if len(form) >= 4 and len(root) >= 4 and size and (form in root or root in form or word):
+                    owner = k
+                    break
+            if owner is None:
+                owner = len(roots)
+                roots.append(form)
+            elif len(form) < len(roots[owner]):
+                roots[owner] = form
+            owners.append(owner)
+        return [roots[k] for k in owners]
+
+    draw = random.Random(5)
+    words = ["acme", "zar", "zarvo", "trading", "ltd", "acme1", "lund", "x"]
+    for _ in range(200):
+        forms = list(dict.fromkeys(" ".join(draw.choice(words) for _ in range(draw.randint(1, 3))) for _ in range(25)))
+        assert family_roots(forms) == plain(forms)
+
+
+def test_exact_pool_over_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    spans = spark.range(5000).select(F.concat(F.lit("s"), F.col("id") % 2).alias("session_id"), (5000 - F.col("id")).alias("ord"), F.lit(0).alias("start"), F.lit("EMAIL_ADDRESS").alias("type"), F.concat(F.lit("u"), F.col("id") % 700).alias("text"))
+    first = {}
+    for r in spans.orderBy("session_id", "ord").collect():
+        seen = first.setdefault(r.session_id, {})
+        seen.setdefault(r.text, len(seen) + 1)
+    got = pool.exact_pool(spans).collect()
+    assert {(r.session_id, r.norm): r.family for r in got} == {(s, t): n for s, seen in first.items() for t, n in seen.items()}
+    assert all(r.placeholder == f"<EMAIL_{r.family}>" for r in got)
+    assert pool.exact_pool(spans.limit(0)).count() == 0

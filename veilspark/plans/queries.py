@@ -106,6 +106,7 @@ GUARDS = {
     "guard_ip": ("ipv4", "concat(case c_custkey % 4 when 0 then 'see clause ' when 1 then 'section 2. ' when 2 then 'host ' else '' end, cast(c_custkey % 14 as string), '.', cast(c_custkey % 60 as string), '.7.', cast(c_custkey % 55 as string))"),
     "guard_nhs": ("uk_nhs", "concat(case c_custkey % 5 when 0 then 'order no ' when 1 then 'phone: ' when 2 then 'copyright ' when 3 then 'nhs ' else 'is ' end, lpad(cast(c_custkey as string), 3, '0'), ' 555 ', lpad(cast(c_custkey as string), 4, '0'))"),
     "guard_iban": ("iban", "concat(case c_custkey % 3 when 0 then 'trade mark ' when 1 then 'class 9 ' else 'pay to ' end, 'UK00 0034 5678 ', lpad(cast(c_custkey as string), 4, '0'))"),
+    "guard_org": ("org_mixed_suffix", "concat('see ', case c_custkey % 5 when 0 then 'Such But Not Limited' when 1 then 'Zarvo EXPRESS Trading Ltd' when 2 then 'A Partnership, An LLC' when 3 then 'Lund, Brandt Corporation' else concat('Norvex', cast(c_custkey as string), ' Trading Ltd') end, ' there')"),
     "context_boost": ("reg_number", "concat(case c_custkey % 3 when 0 then 'sort   code ' when 1 then 'routing ' else 'plain ' end, repeat('w ', cast(c_custkey % 120 as int)), lpad(cast(c_custkey as string), 6, '1'))"),
 }
 
