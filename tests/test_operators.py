@@ -315,3 +315,23 @@ def test_exact_pool_over_many_ranges(spark):
     assert {(r.session_id, r.norm): r.family for r in got} == {(s, t): n for s, seen in first.items() for t, n in seen.items()}
     assert all(r.placeholder == f"<EMAIL_{r.family}>" for r in got)
     assert pool.exact_pool(spans.limit(0)).count() == 0
+
+
+def test_texts_over_paragraphs_are_replaced():
+    package = files.write_docx("by Cannor\nLimited of Lund\nX Cannor\nLimited\nLimited")
+    hidden = files.rewrite_docx(package, {"CANNOR\nLimited": "<ORG_1>"})
+    assert files.docx_text(hidden) == "by <ORG_1>\n of Lund\nX <ORG_1>\n\nLimited"
+    three = files.rewrite_docx(files.write_docx("a one\ntwo\nthree b"), {"one\ntwo\nthree": "<LOCATION_1>"})
+    assert files.docx_text(three) == "a <LOCATION_1>\n\n b"
+
+
+def test_tracked_changes_settle_both_ways():
+    package = files.write_docx("Marta met Marta Brandt\nplain\nBrandt")
+    marked = files.track_changes(package, [("Marta", "Edith"), ("Marta Brandt", "Jonas Okafor"), ("plain", "")])
+    assert files.docx_text(files.resolve_changes(marked, False)) == files.docx_text(package)
+    assert files.docx_text(files.resolve_changes(marked, True)) == "Edith met Jonas Okafor\n\nBrandt"
+    assert files.docx_text(marked) == "Edith met Jonas Okafor\n\nBrandt"
+    again = files.track_changes(marked, [("met Jonas", "saw Jonas")])
+    assert files.docx_text(files.resolve_changes(again, True)) == "Edith saw Jonas Okafor\n\nBrandt"
+    ids = [x.get(f"{files.W}id") for x in files.parts(again)["word/document.xml"].iter() if x.tag in (f"{files.W}ins", f"{files.W}del")]
+    assert len(ids) == len(set(ids))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import io
 import re
 import zipfile
@@ -87,39 +88,70 @@ def docx_text(package: bytes) -> str:
     return "\n".join(out)
 
 
+def splice(paragraph: ET.Element, start: int, end: int, new: str) -> None:
+    """Puts new in place of a paragraph's characters from start to end: the first text element takes it, breaks and tabs in between go."""
+    place, first, owner = 0, True, {child: node for node in paragraph.iter() for child in node}
+    for e in runs(paragraph):
+        size, begin = len(run_text(e)), place
+        place += size
+        a, b = max(start, begin), min(end, place)
+        if a >= b:
+            continue
+        if e.tag != f"{W}t":
+            owner[e].remove(e)
+            continue
+        body = e.text or ""
+        e.text = body[: a - begin] + (new if first else "") + body[b - begin :]
+        e.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+        first = False
+
+
+def paragraph_text(paragraph: ET.Element) -> str:
+    return "".join(map(run_text, runs(paragraph)))
+
+
 def replace_in_paragraph(paragraph: ET.Element, pairs: list[tuple[str, str]]) -> bool:
     """Replaces texts that may run over several runs, longest first and whatever the case; the first run takes the new text."""
     changed = False
     for old, new in pairs:
-        at = 0
-        while True:
-            elements = [e for e in runs(paragraph)]
-            whole = "".join(map(run_text, elements))
-            found = re.compile(re.escape(old), re.IGNORECASE).search(whole, at)
-            if not found or not old:
-                break
-            place, first = 0, True
-            for e in elements:
-                size, begin = len(run_text(e)), place
-                place += size
-                a, b = max(found.start(), begin), min(found.end(), place)
-                if a >= b or e.tag != f"{W}t":
-                    continue
-                body = e.text or ""
-                e.text = body[: a - begin] + (new if first else "") + body[b - begin :]
-                e.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
-                first = False
+        at, wanted = 0, re.compile(re.escape(old), re.IGNORECASE)
+        while old and (found := wanted.search(paragraph_text(paragraph), at)):
+            splice(paragraph, found.start(), found.end(), new)
             changed = True
             at = found.start() + len(new)  # never into what was just written
     return changed
 
 
+def replace_over_paragraphs(root: ET.Element, pairs: list[tuple[str, str]]) -> bool:
+    """Replaces texts of several lines that run over paragraphs: the first ends with their first line, the last begins
+    with their last, those between hold a line each. The first paragraph takes the new text; emptied ones stay."""
+    changed, held = False, list(paragraphs(root))
+    for old, new in pairs:
+        lines = [re.escape(x) for x in old.split("\n") if x]
+        if len(lines) < 2:
+            continue
+        shapes = [re.compile(f"{lines[0]}$", re.IGNORECASE), *(re.compile(f"^{x}$", re.IGNORECASE) for x in lines[1:-1]), re.compile(f"^{lines[-1]}", re.IGNORECASE)]
+        for at in range(len(held) - len(lines) + 1):
+            here = held[at : at + len(lines)]
+            found = []
+            for shape, p in zip(shapes, here):
+                if not (hit := shape.search(paragraph_text(p))):
+                    break
+                found.append(hit)
+            if len(found) == len(lines):
+                for k, (p, hit) in enumerate(zip(here, found)):
+                    splice(p, hit.start(), hit.end(), "" if k else new)
+                changed = True
+    return changed
+
+
 def rewrite_docx(package: bytes, mapping: dict[str, str]) -> bytes:
     """The package with every key replaced by its value in all parts, headers and footers included."""
     pairs = sorted(mapping.items(), key=lambda x: (-len(x[0]), x[0]))
     new = {}
     for name, root in parts(package).items():
-        if any([replace_in_paragraph(p, pairs) for p in paragraphs(root)]):
+        within = any([replace_in_paragraph(p, pairs) for p in paragraphs(root)])
+        if replace_over_paragraphs(root, pairs) or within:
             new[name] = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(package)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
@@ -154,6 +186,96 @@ def resolve_changes(package: bytes, accept: bool) -> bytes:
     return out.getvalue()
 
 
+def alone(paragraph: ET.Element, start: int, end: int) -> list[tuple[ET.Element, ET.Element]]:
+    """Parts a paragraph's runs so that the characters from start to end fill runs of their own: (holder, run) of these."""
+    place, out = 0, []
+    for e in runs(paragraph):
+        size, begin = len(run_text(e)), place
+        place += size
+        a, b = max(start, begin) - begin, min(end, place) - begin
+        if a >= b:
+            continue
+        owner = {child: node for node in paragraph.iter() for child in node}
+        run = owner[e]
+        holder, body, here = owner[run], list(run), list(run).index(e)
+        style = run.find(f"{W}rPr")
+        parted = []
+        for before, piece in ((True, body[:here]), (False, [e]), (None, body[here + 1 :])):
+            texts = [e.text[:a], e.text[a:b], e.text[b:]] if before is False and e.tag == f"{W}t" else [None]
+            for k, text in enumerate(texts):
+                piece_body = [x for x in piece if x is not style]
+                if not piece_body or text == "":
+                    continue
+                made = ET.Element(f"{W}r", run.attrib)
+                if style is not None:
+                    made.append(copy.deepcopy(style))
+                if text is None:
+                    made.extend(piece_body)
+                else:
+                    t = ET.SubElement(made, f"{W}t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"})
+                    t.text = text
+                parted.append(made)
+                if before is False and (text is None or k == 1):
+                    out.append((holder, made))
+        at = list(holder).index(run)
+        holder.remove(run)
+        for k, made in enumerate(parted):
+            holder.insert(at + k, made)
+    return out
+
+
+def track_changes(package: bytes, changes: list[tuple[str, str]], author: str = "veilspark", date: str = "2000-01-01T00:00:00Z") -> bytes:
+    """The package with changes (old, new) as revision marks in all parts: old text as deleted, new as inserted behind it.
+
+    Longer texts go first; a text is looked for as it stands, within a paragraph. resolve_changes() settles the marks.
+    The result depends on the arguments alone, so the date is one of them."""
+    new_parts = {}
+    for name, root in parts(package).items():
+        marks = [int(x.get(f"{W}id")) for x in root.iter() if (x.get(f"{W}id") or "").isdigit()]
+        number, changed = max(marks, default=0), False
+        for paragraph in paragraphs(root):
+            for old, new in sorted(changes, key=lambda x: (-len(x[0]), x[0])):
+                at = 0
+                while old and (at := paragraph_text(paragraph).find(old, at)) >= 0:
+                    covered = alone(paragraph, at, at + len(old))
+                    for holder, run in covered:
+                        number += 1
+                        gone = ET.Element(f"{W}del", {f"{W}id": str(number), f"{W}author": author, f"{W}date": date})
+                        holder[list(holder).index(run)] = gone
+                        gone.append(run)
+                        for t in run.findall(f"{W}t"):
+                            t.tag = f"{W}delText"
+                    holder, run = covered[-1]
+                    last = next(x for x in holder if run in list(x))
+                    if holder.tag == f"{W}ins":  # an earlier insertion is parted here, as none may stand in another
+                        outer, rest = next(n for n in paragraph.iter() if holder in list(n)), list(holder)[list(holder).index(last) + 1 :]
+                        if rest:
+                            number += 1
+                            behind = ET.Element(f"{W}ins", holder.attrib | {f"{W}id": str(number)})
+                            for x in rest:
+                                holder.remove(x)
+                                behind.append(x)
+                            outer.insert(list(outer).index(holder) + 1, behind)
+                        holder, last = outer, holder
+                    if new:
+                        number += 1
+                        put = ET.Element(f"{W}ins", {f"{W}id": str(number), f"{W}author": author, f"{W}date": date})
+                        made = ET.SubElement(put, f"{W}r")
+                        if (style := run.find(f"{W}rPr")) is not None:
+                            made.append(copy.deepcopy(style))
+                        ET.SubElement(made, f"{W}t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"}).text = new
+                        holder.insert(list(holder).index(last) + 1, put)
+                    at += len(new)
+                    changed = True
+        if changed:
+            new_parts[name] = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(package)) as z, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
+        for item in z.infolist():
+            to.writestr(item, new_parts.get(item.filename, z.read(item.filename)))
+    return out.getvalue()
+
+
 def write_docx(text: str) -> bytes:
     """A plain package: a paragraph a line; lines of capitals or with # are headings."""
     root = ET.Element(f"{W}document")
