@@ -97,7 +97,6 @@ class Encoder(dict):
             for runs in split:
                 yield b"".join(map(self.__getitem__, runs))
             self.forget()
-        trim()
 
     def forget(self) -> None:
         for known in (self, self.words):
