@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import decontaminate, jaccard, lines, quality, tokens
-from veilspark.llm.common import Scratch
+from veilspark.llm.common import Scratch, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,6 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go from the texts; n_chars follows."""
+    settle(spark)
     out = lines.deduplicated(docs.select(*COLUMNS), "lang", "source")
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
 
@@ -32,6 +33,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each group of near duplicates the document with the smallest doc_id stays; rows that repeat it stay once.
 
     Documents without words, which link with nothing, and rows without doc_id stay."""
+    settle(spark)
     docs = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = jaccard.similarity_classes(docs.select(*COLUMNS))
     others = found.where("n_shingles > 0 AND doc_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id", "text_hash").distinct()
@@ -40,11 +42,13 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    settle(spark)
     return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 4096 ids."""
+    settle(spark)
     return tokens.pack(docs)
 
 

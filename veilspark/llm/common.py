@@ -66,6 +66,14 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def settle(spark: SparkSession) -> None:
+    """Executors collect their garbage and give free heap back to the system: a heap grown in one stage
+    would stay beside the Python workers of the next. One short task a core; an executor that
+    none reaches keeps its heap, and nothing else differs."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).where("reflect('java.lang.System', 'gc') IS NOT NULL").count()
+
+
 def task_filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """For code in a task: the file system of a shared folder, and the folder's path there."""
     if "://" not in uri and not uri.startswith("file:"):
