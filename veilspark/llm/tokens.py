@@ -30,7 +30,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 #: Marks that may end a run after a word and form one piece of their own there.
-TAIL = ",.;:!?*#$%&)]}\"-_/+="
+TAIL = b",.;:!?*#$%&)]}\"-_/+="
 
 
 class Encoder(dict):
@@ -53,24 +53,27 @@ class Encoder(dict):
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[bytes, bytes] = {b"": b""}
         trim()
 
     def encode(self, run: str) -> bytes:
         return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, runs: set[bytes]) -> None:
-        parted = []
+        parted, stems, tails = [], [], []
         for run in runs:
-            text = run.decode()
-            stem = text.rstrip(TAIL)
-            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
-                parted.append((run, stem.lower() if stem.isascii() else stem, text[len(stem) :]))
-            else:
-                self[run] = self.encode(text)
-        words = list({word for _, word, _ in parted}.difference(self.words))
+            word = stem = run.rstrip(TAIL)
+            if stem.isalpha():  # of bytes: ASCII letters only
+                word = stem.lower()
+            elif stem.isascii() or not ((text := stem.decode()).isalpha() and text.lower().isalpha()):
+                self[run] = self.encode(run.decode())
+                continue
+            parted.append(run)
+            stems.append(word)
+            tails.append(run[len(stem) :])
+        words = list(set(stems).difference(self.words))
         if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(words):
                 raw, at = ids.tobytes(), 0
@@ -78,15 +81,14 @@ class Encoder(dict):
                     self.words[word] = raw[at:stop]
                     at = stop
             else:  # a vocabulary without word ends
-                self.words.update((word, self.encode(word)) for word in words)
-        for run, word, tail in parted:
-            if tail not in self.words:
-                self.words[tail] = self.encode(tail)
-            self[run] = self.words[word] + self.words[tail]
+                self.words.update((word, self.encode(word.decode())) for word in words)
+        self.words.update((tail, self.encode(tail.decode())) for tail in set(tails).difference(self.words))
+        known = self.words
+        self.update(zip(parted, [known[word] + known[tail] for word, tail in zip(stems, tails)]))
 
     def clear(self) -> None:
         super().clear()
-        self.words = {"": b""}
+        self.words = {b"": b""}
 
     def batch(self, texts: list[str | None], block: int = 1024):
         """The ids of each text."""
