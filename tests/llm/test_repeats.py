@@ -1,10 +1,11 @@
+import dataclasses
 import hashlib
 import random
 
 import numpy as np
 import pytest
 
-from veilspark.llm import fmindex, suffixes
+from veilspark.llm import fmindex, repeats, suffixes
 
 
 def corpus(seed=0, n=60):
@@ -94,6 +95,36 @@ def test_words_equal_brute_force(spark, seed):
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+def edges(words, n=120):
+    """One passage between surroundings that differ, but for a few bytes next to it in some: all its edges share a key."""
+    rnd = random.Random(7)
+    passage = " ".join("%06d" % rnd.randrange(10**6) for _ in range(words))
+    near = ["a b", "a c", "d c"]
+    around = lambda: " ".join("%05d" % rnd.randrange(10**5) for _ in range(60))
+    return [(i, f"{around()} {rnd.choice(near)} {passage} {rnd.choice(near)} {around()}") for i in range(n)]
+
+
+@pytest.mark.parametrize("module, name, brute, columns", [(suffixes, "BYTES", brute_bytes, 5), (fmindex, "WORDS", brute_words, 4)])
+def test_frequent_keys_are_split(spark, monkeypatch, module, name, brute, columns):
+    unit = dataclasses.replace(getattr(module, name), key_units=300)
+    monkeypatch.setattr(module, name, unit)
+    fullest = []
+    contents = repeats.contents
+
+    def watched(texts, entries, unit):
+        fullest.append(max((r.n for r in entries.groupBy("key").agg({"windows": "count"}).withColumnRenamed("count(windows)", "n").collect()), default=0))
+        return contents(texts, entries, unit)
+
+    monkeypatch.setattr(repeats, "contents", watched)
+    rows = edges(unit.length // 3 if name == "BYTES" else unit.length + 20)
+    got = module.remove_repeats(frame(spark, rows)).collect()
+    assert order(tuple(r)[:columns] for r in got) == order(brute(rows))
+    assert fullest[0] * unit.length <= 2 * unit.key_units  # each entry has a window's units at least
+    rows = corpus(4)
+    got = module.remove_repeats(frame(spark, rows)).collect()
+    assert order(tuple(r)[:columns] for r in got) == order(brute(rows))
+
+
 def test_empty_table(spark):
     empty = frame(spark, [(1, "x")]).where("false")
     assert suffixes.remove_repeats(empty).count() == 0 and fmindex.remove_repeats(empty).count() == 0

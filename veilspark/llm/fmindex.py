@@ -32,6 +32,7 @@ WORDS = Unit(
     cut=cut_words,
     inside=False,
     shard_bytes=1 << 20,
+    key_units=1 << 17,
 )
 
 

@@ -5,6 +5,10 @@ of the `gram`-unit grams inside it, so equal windows have equal keys wherever th
 Consecutive windows of one key form a piece. Only pieces whose key occurs again can hold a repeat;
 of those, equal pieces are one entry with its first place, and entries are dealt by key to shards.
 A shard never meets a window that is also in another shard, so each is indexed on its own.
+
+A key that would fill a shard is split: its windows are cut into classes by where in them the gram
+begins, and the new key is a hash of the units that all windows of such a place have in common, which are
+the more the narrower the classes are, up to the whole window. Equal windows stay together.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import INVERSE, ODD, Scratch, batched, keyed, mix, powers, text_blocks, unique_ids
+from veilspark.llm.common import INVERSE, ODD, Scratch, batched, keyed, mix, one_text, powers, text_blocks, unique_ids
 
 #: Pieces are cut after so many windows of one key, so that monotonous text makes no unbounded piece.
 LONGEST = 400
+#: Classes that a class of places is cut into where its key is too frequent.
+SPLIT = 4
 
 
 @dataclass(frozen=True)
@@ -36,6 +42,8 @@ class Unit:
     inside: bool
     #: Target content of a shard in bytes.
     shard_bytes: int
+    #: Units of one key's entries beyond which it is split.
+    key_units: int
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -137,6 +145,83 @@ def contents(texts: DataFrame, entries: DataFrame, unit: Unit) -> DataFrame:
     return texts.join(wanted.hint("merge"), ["doc", "twin"]).select("doc", "text", "wanted").mapInArrow(run, "key long, content long, windows int, doc long, start long, body binary")
 
 
+def classes(hashes: np.ndarray, start: int, windows: int, unit: Unit, step: int):
+    """(first window, windows, key, content hash) of the parts of a piece: its windows by where in them
+    their gram first begins, in classes of `step` places. Units that all windows of such a place share make the key."""
+    length, width = unit.length, unit.length - unit.gram + 1
+    hashes = hashes[start : start + windows - 1 + length]
+    total = len(hashes)
+    grams = gram_hashes(hashes, unit.gram)
+    first = np.arange(windows)
+    place = np.flatnonzero(grams == grams[:width].min())
+    at = place[np.searchsorted(place, first)]
+    kind = (at - first) // step
+    head = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (kind[1:] != kind[:-1])))
+    count = np.diff(np.append(head, windows))
+    low = kind[head] * step
+    a = at[head] - low
+    b = at[head] - np.minimum(low + step, width) + 1 + length
+    prefix, back = np.zeros(total + 1, np.uint64), powers(INVERSE, total)
+    np.cumsum(hashes * powers(ODD, total), out=prefix[1:])
+    content = mix((prefix[head + count - 1 + length] - prefix[head]) * back[head])
+    key = mix(mix((prefix[b] - prefix[a]) * back[a]) + (kind[head] * width + step).astype(np.uint64))
+    return head, count, key, content
+
+
+def cut_entries(texts: DataFrame, entries: DataFrame, unit: Unit, step: int) -> DataFrame:
+    """The parts of each entry, by its first place: key, content, windows, and first, count, part_key, part_content."""
+    wanted = entries.groupBy("doc", "twin").agg(F.collect_list(F.struct("key", "content", "windows", "start")).alias("wanted"))
+    kinds = {"key": pa.int64(), "content": pa.int64(), "windows": pa.int32(), "first": pa.int64(), "count": pa.int32(), "part_key": pa.int64(), "part_content": pa.int64()}
+
+    def run(batches):
+        def rows():
+            for batch in batches:
+                for text, wanted in zip(batch.column("text"), batch.column("wanted")):
+                    hashes, _ = unit.hashes(*one_text(text.as_py().encode("utf-8", "replace")))
+                    for x in wanted.as_py():
+                        head, count, key, content = classes(hashes, x["start"], x["windows"], unit, step)
+                        for part in zip(head.tolist(), count.tolist(), key.view(np.int64).tolist(), content.view(np.int64).tolist()):
+                            yield x["key"], x["content"], x["windows"], *part
+
+        yield from batched(rows(), pa.schema(list(kinds.items())), 5_000)
+
+    return texts.join(wanted.hint("merge"), ["doc", "twin"]).select("text", "wanted").mapInArrow(run, "key long, content long, windows int, first long, count int, part_key long, part_content long")
+
+
+def entries_of(places: DataFrame) -> DataFrame:
+    entries = places.groupBy("key", "content", "windows").agg(F.min(F.struct("doc", "start", "twin")).alias("first"))
+    return entries.select("key", "content", "windows", "first.doc", "first.start", "first.twin")
+
+
+def split_keys(texts: DataFrame, places: DataFrame, entries: DataFrame, unit: Unit, apart, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Places and entries with every key of more than unit.key_units split, in narrower classes each time; at last in
+    single windows, of which equal ones are one entry. Parts whose key doesn't occur again go. With the names of the tables written."""
+    settled_places = settled_entries = None
+    names = []
+    step = unit.length - unit.gram + 1
+    while step > 1:
+        step = -(-step // SPLIT)
+        often = F.sum(F.col("windows") - 1 + unit.length) > unit.key_units
+        hot = scratch.save(entries.groupBy("key").agg(often.alias("often")).where("often").select("key"), f"hot-{step}")
+        names.append(f"hot-{step}")
+        if hot.isEmpty():
+            break
+        cut = scratch.save(cut_entries(texts, entries.join(hot, "key"), unit, step), f"cut-{step}")
+        parts = places.join(hot, "key").join(cut, ["key", "content", "windows"]).select(F.col("part_key").alias("key"), "doc", "twin", (F.col("start") + F.col("first")).alias("start"), F.col("count").alias("windows"), F.col("part_content").alias("content"))
+        parts = scratch.save(parts, f"parts-{step}")
+        again = parts.groupBy("key").agg(apart.alias("apart")).where("apart").select("key")
+        rest_places, rest_entries = places.join(hot, "key", "left_anti"), entries.join(hot, "key", "left_anti")
+        settled_places = rest_places if settled_places is None else settled_places.unionByName(rest_places)
+        settled_entries = rest_entries if settled_entries is None else settled_entries.unionByName(rest_entries)
+        places = scratch.save(parts.join(again, "key"), f"places-{step}")
+        scratch.drop(f"cut-{step}", f"parts-{step}")
+        entries = scratch.save(entries_of(places), f"entries-{step}")
+        names += [f"places-{step}", f"entries-{step}"]
+    if settled_places is None:
+        return places, entries, names
+    return settled_places.unionByName(places), settled_entries.unionByName(entries), names
+
+
 def covered(docs: DataFrame, unit: Unit, search: Callable, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows of docs as doc, twin, text, and (doc, twin, spans): the covered ranges of units of each document that has any.
 
@@ -150,10 +235,10 @@ def covered(docs: DataFrame, unit: Unit, search: Callable, scratch: Scratch) ->
     shared = found.groupBy("key").agg(apart.alias("apart"), F.max("again").alias("again")).where("apart OR again").select("key")
     places = scratch.save(found.drop("again").join(shared, "key"), "places")
     scratch.drop("pieces")
-    entries = places.groupBy("key", "content", "windows").agg(F.min(F.struct("doc", "start", "twin")).alias("first"), F.count("*").alias("copies"))
-    entries = scratch.save(entries.select("key", "content", "windows", "first.doc", "first.start", "first.twin", "copies"), "entries")
+    entries = scratch.save(entries_of(places), "entries")
     texts = rows if unique else rows.dropDuplicates(["doc", "twin"])
-    bodies = scratch.save(contents(texts, entries.drop("copies"), unit), "bodies")
+    places, entries, split = split_keys(texts, places, entries, unit, apart, scratch)
+    bodies = scratch.save(contents(texts, entries, unit), "bodies")
     total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = max(1, total // unit.shard_bytes)
 
@@ -164,7 +249,9 @@ def covered(docs: DataFrame, unit: Unit, search: Callable, scratch: Scratch) ->
         ranges = search(data.column("body").to_pylist(), column["windows"], column["doc"], column["start"])
         return pa.Table.from_arrays([*[pa.array(column[n]).cast(schema.field(n).type) for n in ("key", "content", "windows", "doc", "start")], pa.array([[{"from": a, "to": b} for a, b in x] for x in ranges], schema.field("ranges").type)], schema=schema)
 
-    dealt = bodies.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    # So many tasks whatever the bytes: searching takes far longer than reading.
+    tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = bodies.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(tasks, "shard")
     judged = dealt.groupBy("shard").applyInArrow(index, "key long, content long, windows int, doc long, start long, ranges array<struct<from:int,to:int>>")
     judged = scratch.save(judged.withColumnsRenamed({"doc": "first_doc", "start": "first_start"}), "judged")
     scratch.drop("bodies", "entries")
@@ -175,7 +262,7 @@ def covered(docs: DataFrame, unit: Unit, search: Callable, scratch: Scratch) ->
     spans = places.join(judged, ["key", "content", "windows"]).select("doc", "twin", "start", F.explode(F.when(later, whole).otherwise(F.col("ranges"))).alias("r"))
     spans = spans.select("doc", "twin", (F.col("start") + F.col("r.from")).alias("a"), (F.col("start") + F.col("r.to")).alias("b")).distinct()
     spans = scratch.save(spans.groupBy("doc", "twin").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
-    scratch.drop("places", "judged")
+    scratch.drop("places", "judged", *split)
     return rows, spans
 
 

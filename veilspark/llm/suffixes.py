@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import CODES, Scratch, batched, real_id
 from veilspark.llm.repeats import Unit, covered, mask_of
 
-#: Bytes of a repeat, of the grams that key a window, and of the first sort.
-LENGTH, GRAM, FIRST = 100, 16, 8
+#: Bytes of a repeat, of the grams that key a window, and of the first sort. Shorter grams recur by chance, the more
+#: the larger the corpus is; results are the same whatever their length.
+LENGTH, GRAM, FIRST = 100, 32, 8
 
 
 def split_bytes(text: str) -> bytes:
@@ -36,6 +37,7 @@ BYTES = Unit(
     cut=cut_bytes,
     inside=True,
     shard_bytes=1 << 20,
+    key_units=1 << 20,
 )
 
 
