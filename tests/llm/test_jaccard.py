@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from veilspark.llm import jaccard
 
 
@@ -62,6 +64,38 @@ def test_only_pairs(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in jaccard.similarity_classes(frame(spark, rows)).collect()) == brute(rows)
 
 
+def test_buckets_make_no_pairs_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "STARS", 1)
+    made, sketched = [], jaccard.sketched
+
+    def watched(pairs, classes):
+        made.append(pairs.count())
+        return sketched(pairs, classes)
+
+    monkeypatch.setattr(jaccard, "sketched", watched)
+    rows = corpus(4)[::2]
+    got = jaccard.similarity_classes(frame(spark, rows).repartition(1)).collect()
+    assert sorted(tuple(r)[:3] for r in got) == brute(rows)
+    assert len(made) == 1  # pairs with hubs only, which are fewer than the rows of the buckets
+
+
+def test_near_pairs_are_those_of_a_join(spark):
+    rnd = random.Random(6)
+    bases = [rnd.sample(range(8_000), 30) for _ in range(6)]
+    sets = {k: np.sort(np.array([x if rnd.random() < 0.9 else rnd.randrange(8_000) for x in rnd.choice(bases)], np.uint64) << np.uint64(24)) for k in range(40)}
+    cuts = lambda x: np.searchsorted(x >> np.uint64(24), np.arange(jaccard.FRAGMENTS + 1) * 1_000)
+    classes = spark.createDataFrame([(k, jaccard.sketch(x, cuts(x))) for k, x in sets.items()], "sid long, sketch binary")
+    rows = [(g, k, rnd.randrange(12), 30, rnd.randrange(7)) for g in range(30) for k in rnd.sample(sorted(sets), rnd.choice([2, 3, 30]))]
+    buckets = spark.createDataFrame(rows, "gram long, sid long, c long, n int, at int").repartition(3)
+    right = buckets.toDF("gram", "other", "oc", "m", "on")
+    joined = buckets.join(right, "gram").where("c < oc").where(jaccard.possible("n", "m", "at", "on")).selectExpr("least(sid, other) AS a", "greatest(sid, other) AS b").distinct()
+    wanted = jaccard.sketched(joined, classes.selectExpr("sid", "30L AS n", "sketch"))
+    for batch in ("7", "2000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert sorted(map(tuple, jaccard.near_pairs(buckets, classes).collect())) == sorted(map(tuple, wanted.collect()))
+    assert 0 < wanted.count() < joined.count()
+
+
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "STARS", 0)
     monkeypatch.setattr(jaccard, "WIDE", 2)

@@ -26,7 +26,7 @@ STARS = 2
 COLD = 100_000
 #: Prefix n-grams that a task holds before it deals them out.
 HELD = 400_000
-#: Buckets of more classes than WIDE are not paired row by row but in blocks of BLOCK by BLOCK.
+#: Buckets of more classes than WIDE are not held against each other within one task but in blocks of BLOCK by BLOCK.
 WIDE, BLOCK = 256, 2_048
 #: Bits of a fragment's sketch: at least as many as it has n-grams, within these bounds.
 SKETCH = 6, 15
@@ -353,6 +353,64 @@ def sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "n", "m", "left", "right").mapInArrow(run, "a long, b long, n long, m long")
 
 
+def near_pairs(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, n, m) of the classes in one of the buckets (gram, sid, c, n, at) that are of different components and can
+    be similar by sizes, places and sketches.
+
+    A task reads buckets of at most WIDE rows one after another and holds their classes against each
+    other, so that only pairs that pass the sketches are made as rows."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+            gram = rows.column("gram").to_numpy()
+            whole = int(np.searchsorted(gram, gram[-1], "left")) if len(gram) else 0  # the last bucket may go on
+            rest = rows.slice(whole)
+            yield from meet(rows.slice(0, whole))
+        if rest is not None:
+            yield from meet(rest)
+
+    def meet(rows):
+        gram, sid, c, n, at = (rows.column(k).to_numpy().astype(np.int64) for k in ("gram", "sid", "c", "n", "at"))
+        others = np.searchsorted(gram, gram, "right") - np.arange(len(gram)) - 1
+        bounds = np.concatenate([[0], np.cumsum(others)])
+        known: dict[int, list] = {}
+        k = 0
+        while k < len(gram):
+            # So many rows that their pairs fit a block.
+            end = max(k + 1, int(np.searchsorted(bounds, bounds[k] + 200_000, "right")) - 1)
+            x = np.repeat(np.arange(k, end), others[k:end])
+            y = x + 1 + np.arange(len(x)) - (bounds[x] - bounds[k])
+            k = end
+            best = np.minimum(at[x], at[y]) + 1 + np.minimum(n[x] - 1 - at[x], n[y] - 1 - at[y])
+            sizes = np.minimum(n[x], n[y]) * SIMILAR[1] >= np.maximum(n[x], n[y]) * SIMILAR[0]
+            fit = np.flatnonzero((c[x] != c[y]) & sizes & enough(best, n[x], n[y]))
+            x, y = x[fit], y[fit]
+            x, y = np.where(sid[x] < sid[y], x, y), np.where(sid[x] < sid[y], y, x)
+            _, one = np.unique(np.stack([sid[x], sid[y]]), axis=1, return_index=True)
+            x, y = x[one], y[one]
+            if not len(x):
+                continue
+            # A first look with the least number of bits, all pairs at once.
+            used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+            for r, data in zip(used.tolist(), rows.column("sketch").take(pa.array(used)).to_pylist()):
+                known[r] = unsketched(data)
+            part = np.array([[f[0] for f in known[r]] for r in used.tolist()], np.int64)
+            low = np.array([[folded(f[2], f[1], SKETCH[0]) for f in known[r]] for r in used.tolist()], np.uint64)
+            left, right = place[: len(x)], place[len(x) :]
+            apart = np.bitwise_count(low[left] ^ low[right]).astype(np.int64)
+            best = np.minimum(np.minimum(part[left], part[right]), (part[left] + part[right] - apart) // 2).sum(1)
+            near = [i for i in np.flatnonzero(enough(best, n[x], n[y])).tolist() if enough(most_shared(known[x[i]], known[y[i]]), int(n[x[i]]), int(n[y[i]]))]
+            known.clear()
+            x, y = x[near], y[near]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (sid[x], sid[y], n[x], n[y])], schema=schema)
+
+    rows = buckets.select("gram", "sid", "c", "n", "at").join(classes.select("sid", "sketch").hint("merge"), "sid")
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, n long, m long").distinct()
+
+
 def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs (a, b, n, m) that are similar: partial overlaps are counted in each fragment apart and summed up."""
     left = parts.select(F.col("sid").alias("a"), "fragment", F.col("grams").alias("left"))
@@ -535,12 +593,12 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
                 found = scratch.save(block_links(wide, parts, classes), "links-wide")
                 links = found if links is None else links.unionByName(found)
             open_ = placed.join(sized.where(F.col("many") <= WIDE).select("gram"), "gram")
-            right = open_.select("gram", F.col("sid").alias("other"), F.col("n").alias("m"), F.col("at").alias("on"), F.col("c").alias("oc"))
-            pairs = open_.join(right, "gram").where("c < oc")
-        pairs = pairs.where(possible("n", "m", "at", "on")).select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+            pairs = near_pairs(open_, classes)
+        if not last:
+            pairs = pairs.where(possible("n", "m", "at", "on")).select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(sketched(pairs, classes), f"pairs-{turn}")
+        pairs = scratch.save(pairs.select("a", "b", "n", "m") if last else sketched(pairs, classes), f"pairs-{turn}")
         parts = have(parts, pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"segments-{turn}")
         found = scratch.save(verified(pairs, parts), f"links-{turn}")
         links = found if links is None else links.unionByName(found)
