@@ -237,12 +237,22 @@ def python(regex: str, flags: int = 0) -> re.Pattern:
     return re.compile(spaced(regex), flags | re.ASCII)
 
 
+def head(pattern: Pattern) -> str:
+    """The letters and digits that every match of a pattern begins with."""
+    if pattern.kind == "ORGANIZATION" or pattern.name == "email":
+        return ""
+    return re.match(r"(?:\\b)?((?:[A-Za-z0-9](?![?*+{|]))*)", pattern.regex)[1]
+
+
 def java(pattern: Pattern) -> str:
-    """The pattern for Spark. Where a boundary can only have a word character on its inner side, half of the look-around is enough."""
+    """The pattern for Spark. Where a boundary can only have a word character on its inner side, half of the look-around is enough.
+
+    It is looked at behind the letters that a match begins with, so that most places of a text fail at their first letter."""
     regex = pattern.regex
     if pattern.kind != "ORGANIZATION":
         if regex.startswith(r"\b") and pattern.name != "email":
-            regex = "(?<![A-Za-z0-9_])" + regex[2:]
+            first = head(pattern)
+            regex = f"{first}(?<![A-Za-z0-9_]{first})" + regex[2 + len(first) :]
         if regex.endswith(r"\b"):
             regex = regex[:-2] + "(?![A-Za-z0-9_])"
     return regex.replace(r"\b", JAVA_BOUNDARY)

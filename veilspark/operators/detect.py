@@ -25,8 +25,22 @@ def as_rows(spans: list[one.Span]) -> list[dict]:
     return [{"seq": k, "start": s.start, "end": s.end, "type": s.kind, "score": s.score, "verified": s.verified, "reason": s.reason, "text": s.text} for k, s in enumerate(spans)]
 
 
+#: Bytes of input a task of detection is meant for, and tasks a core at least.
+SHARE, TASKS = 8 << 20, 4
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df over tasks of equal shares. Detection costs far more than a shuffle, and a table in one file or row group is read by one task, however many cores there are."""
+    if df.isStreaming:
+        return df
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # a table without a size counts as endless
+    return df.repartition(max(TASKS * df.sparkSession.sparkContext.defaultParallelism, known // SHARE))
+
+
 def map_spans(df: DataFrame, function: Callable[..., list[one.Span]], inputs: list[str], column: str = "spans") -> DataFrame:
-    """df with function(*inputs) of each row as a column of spans; one Arrow stage, no shuffle."""
+    """df with function(*inputs) of each row as a column of spans; one Arrow stage over rows dealt out evenly."""
 
     def run(batches):
         for batch in batches:
@@ -34,7 +48,7 @@ def map_spans(df: DataFrame, function: Callable[..., list[one.Span]], inputs: li
             made = pa.array([as_rows(function(*(c[k].as_py() for c in given))) for k in range(batch.num_rows)], ARROW_SPANS)
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, column])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, T._parse_datatype_string(SPANS))]))
+    return dealt(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, T._parse_datatype_string(SPANS))]))
 
 
 def detect(
@@ -68,8 +82,11 @@ def detect(
 
 
 def spans_table(df: DataFrame, *keys: str) -> DataFrame:
-    """One row a span."""
-    return df.select(*keys, F.inline("spans"))
+    """One row a span.
+
+    An inner inline would have Spark filter on the size of spans first, and push that filter below them and the text:
+    every mention of the text would become its whole expression, computed again at each step of each recognizer."""
+    return df.select(*keys, F.inline_outer("spans")).where(F.col("seq").isNotNull())
 
 
 # ---------------------------------------------------------------- recognizers as columns
@@ -80,28 +97,32 @@ SIGNS = {"email": "@", "phone_intl": "+", "phone_us_paren": "("}
 
 
 def may_match(text: Column, pattern: registry.Pattern) -> Column:
-    """Whether a text holds what every match of a pattern does: a sign or a digit, found without the pattern itself."""
-    sign = text.contains(SIGNS[pattern.name]) if pattern.name in SIGNS else F.lit(True)
-    return sign & text.rlike("[0-9]") if pattern.digits else sign
+    """Whether a text holds what every match of a pattern does: a sign, its first letters or a digit, found without the pattern itself."""
+    sign = SIGNS.get(pattern.name) or registry.head(pattern)
+    held = text.contains(sign) if sign else F.lit(True)
+    return held & text.rlike("[0-9]") if pattern.digits else held
+
+
+#: Stands around matches; another control character, alike to every pattern, takes its place where a text holds it.
+MARK, OTHER = "\x01", "\x02"
 
 
 def matches(text: Column, pattern: registry.Pattern) -> Column:
     """Places of all matches of a pattern as array<struct<start,end,text>>, within generated code.
 
-    Spark gives matches without places. The pieces between them give the rest: a match begins after all
-    pieces and matches before it. Texts without the pattern's first look are never split."""
+    Spark gives matches without places: they are marked, and the text is parted at the marks, which takes one pass
+    of the pattern. Every second part is a match. Texts without the pattern's first look are never parted."""
     regex = registry.java(pattern)
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    pieces = F.split(text, regex, -1)
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(OTHER)), regex, f"{MARK}$0{MARK}")
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
-    def step(state, x):
-        begin = state["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
+    def step(state, part):
+        end = state["at"] + F.length(part)
+        found = F.struct(state["at"].alias("start"), end.alias("end"), F.substring(text, state["at"] + 1, F.length(part)).alias("text"))
+        return F.struct(end.alias("at"), (~state["hit"]).alias("hit"), F.when(state["hit"], F.concat(state["out"], F.array(found))).otherwise(state["out"]).alias("out"))
 
-    return F.when(may_match(text, pattern) & text.rlike(regex), F.aggregate(both, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    places = F.aggregate(F.split(marked, MARK, -1), start, step, lambda s: s["out"])
+    return F.when(may_match(text, pattern) & text.rlike(regex), places).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
 def window(text: Column, start: Column, end: Column, before: int, after: int) -> Column:
@@ -111,10 +132,15 @@ def window(text: Column, start: Column, end: Column, before: int, after: int) ->
 
 
 def boosted(text: Column, start: Column, end: Column, words: tuple[str, ...], score: float) -> Column:
-    near = F.regexp_replace(F.lower(window(text, start, end, CONTEXT_CHARS, CONTEXT_CHARS)), r"\s+", " ")
+    """The score, raised where a context word stands near. White space matters to words that hold some alone, and a word that holds another is found with it."""
+    near = F.lower(window(text, start, end, CONTEXT_CHARS, CONTEXT_CHARS))
+    known = one.context_words(words)
+    least = [w for w in known if not any(v in w for v in known if v != w)]
     # An array of one binds the window, so that it is cut out once for all words.
-    hit = F.exists(F.array(near), lambda n: reduce(lambda a, b: a | b, [n.contains(w) for w in one.context_words(words)]))
-    return F.when(hit, F.least(F.lit(1.0), F.lit(score) + F.lit(BOOST))).otherwise(F.lit(score))
+    held = lambda at, some: F.exists(F.array(at), lambda n: reduce(lambda a, b: a | b, [n.contains(w) for w in some]))
+    single, several = [w for w in least if " " not in w], [w for w in least if " " in w]
+    looks = ([held(near, single)] if single else []) + ([held(F.regexp_replace(near, r"\s+", " "), several)] if several else [])
+    return F.when(reduce(lambda a, b: a | b, looks), F.least(F.lit(1.0), F.lit(score) + F.lit(BOOST))).otherwise(F.lit(score))
 
 
 def guard(kind: str, text: Column, start: Column, end: Column, body: Column) -> Column:
@@ -151,7 +177,7 @@ def scan(df: DataFrame, names: list[str], text: str = "text", min_score: float =
 
     For audits of a few types over a large table; detect() runs the whole chain."""
     arrays = [found_by(F.col(text), order, registry.BY_NAME[name]) for order, name in enumerate(names)]
-    return df.withColumn("spans", F.filter(F.concat(*arrays), lambda s: s["score"] >= min_score).cast(SPANS))
+    return dealt(df).withColumn("spans", F.filter(F.concat(*arrays), lambda s: s["score"] >= min_score).cast(SPANS))
 
 
 def found_by(body: Column, order: int, p: registry.Pattern) -> Column:
