@@ -1,7 +1,12 @@
 """What made queries slow or wrong on larger tables."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from veilspark.functions import registry
+from veilspark.functions import text as one
 from veilspark.operators import detect
 
 
@@ -25,3 +30,37 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path):
     for found in (detect.scan(df, ["email"]), detect.detect(df)):
         held = detect.spans_table(found, "id").groupBy(F.spark_partition_id()).count().collect()
         assert len(held) >= 2 * spark.sparkContext.defaultParallelism and sum(r["count"] for r in held) == 1000
+
+
+def test_texts_compile_no_expressions(monkeypatch):
+    """Each term that was looked for again in its text had an expression of its own."""
+    text = "Witness: Marta Lindqvist{0}\nlater MARTA LINDQVIST{0} of 8 Harbour Road, Leeds LS8 4AB came to Zarvo{0} Trading GmbH"
+    one.detect(text.format("a"))
+    made = []
+    compiled = re._compiler.compile
+    monkeypatch.setattr(re._compiler, "compile", lambda *a, **k: made.append(a) or compiled(*a, **k))
+    for k in range(20):
+        assert len(one.detect(text.format(chr(98 + k) * 3))) >= 3
+    assert not made
+
+
+def test_first_looks_lose_nothing():
+    """Patterns, labels and terms found behind the first looks are those found without them."""
+    rnd = random.Random(7)
+    bits = [*"abAB19:-_\n @.,()+&é﻿K", "name", "by", "SIGNED BY", " Ltd", "4111", "555 123", "Witness:", "contact  person", "of", "Co.", "INC", "Agency ", "DE123456789", "12345678", "10.1.2.3", "a@b.cd", "https://"]
+    hits = 0
+    for _ in range(3000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 40)))
+        zones = one.digit_zones(text)[0]
+        for p in registry.PATTERNS:
+            if p.name == "reg_linebreak":
+                continue
+            plain = [(a + m.start(), a + m.end()) for a, b in (zones if p.digits else [(0, len(text))]) for m in one.rx(p.regex).finditer(text[a:b])]
+            if plain:
+                hits += 1
+                kept = [x for x in plain if one.guarded(text, *x, p.kind)]
+                assert [(s.start, s.end) for s in one.regex_spans(text, [p])] == kept
+        assert list(one.labels(text)) == [m.end() for m in one.rx(one.PERSON_LABEL, "im").finditer(text)]
+        term = text[3:5] or "a"
+        assert list(one.occurrences(text, term)) == [m.span() for m in re.finditer(rf"(?<!\w){re.escape(term)}(?!\w)", text, re.IGNORECASE)]
+    assert hits > 500
