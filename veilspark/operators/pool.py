@@ -147,10 +147,10 @@ def build_pool(spans: DataFrame, pool: DataFrame | None = None, prefix: str = ""
     return changed.unionByName(old.join(touched, ["session_id", "type"], "left_anti").select(columns))
 
 
-def assign(spans: DataFrame, pool: DataFrame) -> DataFrame:
-    """Spans with their placeholders; the pool's side is merged or broadcast by its measured size."""
+def assign(spans: DataFrame, pool: DataFrame, *more: str) -> DataFrame:
+    """Spans with their placeholders and more columns of the pool; the pool's side is merged or broadcast by its measured size."""
     keyed = spans.withColumn("norm", norm(F.col("text")))
-    return keyed.join(pool.select("session_id", "type", "norm", "placeholder"), ["session_id", "type", "norm"], "left").drop("norm")
+    return keyed.join(pool.select("session_id", "type", "norm", "placeholder", *more), ["session_id", "type", "norm"], "left").drop("norm")
 
 
 # ---------------------------------------------------------------- mappings and states

@@ -127,9 +127,12 @@ KEPT_SQL = oracle.without_overlaps(oracle.spans(DOCS_SQL, COMMON))
 SPANS_SQL = f"SELECT doc_id, x.type, x.s, x.e, x.score, x.hit FROM (SELECT doc_id, unnest(kept) AS x FROM ({KEPT_SQL}))"
 
 
+def session_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.lit("s1").alias("session_id"), "doc_id", F.col("doc_id").alias("ord"), "text")
+
+
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.lit("s1").alias("session_id"), "doc_id", F.col("doc_id").alias("ord"), "text")
-    scanned = det.scan(docs, COMMON)
+    scanned = det.scan(session_texts(spark, sf_dir), COMMON)
     return scanned.withColumn("spans", det.without_overlaps(F.col("spans")))
 
 
@@ -185,13 +188,13 @@ REDACTED_SQL = f"""SELECT d.doc_id, coalesce(r.head || substr(d.text, r.till + 1
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = found(spark, sf_dir)
-    spans = stored(det.spans_table(docs.drop("text"), "session_id", "doc_id", "ord"), "spans")
+    spans = stored(found_rows(spark, sf_dir), "spans")
     pool = pools.exact_pool(spans)
-    grouped = pools.assign(spans, pool).groupBy("session_id", "doc_id").agg(F.collect_list(F.struct("start", "end", "placeholder")).alias("replaced"))
-    joined = docs.drop("spans").join(grouped, ["session_id", "doc_id"], "left")
+    grouped = pools.assign(spans, pool, "raw").groupBy("session_id", "doc_id").agg(F.collect_list(F.struct("start", "end", "placeholder", "raw")).alias("replaced"))
+    joined = session_texts(spark, sf_dir).join(grouped, ["session_id", "doc_id"], "left")
     text = F.when(F.col("replaced").isNull(), F.col("text")).otherwise(redact.spliced(F.col("text"), F.col("replaced")))
-    return joined.withColumn("anonymized_text", text).drop("replaced"), pool
+    forms = redact.other_forms(F.col("text"), F.col("replaced"))
+    return joined.withColumn("anonymized_text", text).withColumn("forms", forms).drop("replaced"), pool
 
 
 @query(REDACTED_SQL)
@@ -201,15 +204,14 @@ def redact_text(spark, sf_dir):
 
 @query("SELECT doc_id, text AS restored_text FROM documents")
 def restore_text(spark, sf_dir):
-    """Values that occur in one form only come back exactly, as the originals."""
     docs, pool = redacted(spark, sf_dir)
-    return redact.restore(docs, pools.mapping(pool)).select("doc_id", "restored_text")
+    return redact.restore(docs, pools.mapping(pool), forms="forms").select("doc_id", "restored_text")
 
 
 @query("SELECT count(*) AS documents, count(*) AS exact FROM documents")
 def roundtrip_ok(spark, sf_dir):
     docs, pool = redacted(spark, sf_dir)
-    back = redact.restore(docs, pools.mapping(pool))
+    back = redact.restore(docs, pools.mapping(pool), forms="forms")
     return back.agg(F.count("*").alias("documents"), F.count_if(F.col("restored_text").eqNullSafe(F.col("text"))).alias("exact"))
 
 
