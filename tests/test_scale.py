@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import registry
 from veilspark.functions import text as one
-from veilspark.operators import detect, pool, redact
+from veilspark.operators import detect, pool, redact, review
 from veilspark.plans import queries
 
 
@@ -93,3 +93,19 @@ def test_the_whole_chain_is_restored_exactly(spark):
     out, _, entities = redact.anonymize(docs, forms=True)
     back = redact.restore(out, pool.mapping(entities), forms="forms")
     assert {r.doc_id: r.restored_text for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_families_of_many_sessions(spark):
+    """Each session and type had a frame of its own; now groups are read one after another, null keys and large groups too."""
+    rows = [(f"s{s}" if s else None, 0, k, kind, text) for s in range(300) for kind in ("ORGANIZATION", "PERSON") for k, text in enumerate(["Zarvo Trading", " zarvo", "ZARVO", "Marta Brandt", "Marta"])]
+    rows += [("wide", k, 0, "PERSON", f"Name{k % 300} Brandt") for k in range(1_000)]
+    spans = spark.createDataFrame(rows, "session_id string, ord int, start int, type string, text string")
+    got: dict = {}
+    for r in review.families(spans).collect():
+        got.setdefault((r.session_id, r.type), {})[r.form] = (r.n, r.root)
+    want: dict = {}
+    for s, _, _, kind, text in rows:
+        forms = want.setdefault((s, kind), {})
+        forms[text.lower().strip()] = forms.get(text.lower().strip(), 0) + 1
+    assert got == {key: {f: (n, root) for (f, n), root in zip(forms.items(), review.family_roots(list(forms)))} for key, forms in want.items()}
+    assert "FlatMapGroups" not in review.families(spans)._jdf.queryExecution().toString()

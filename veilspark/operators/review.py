@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import text as one
 from veilspark.operators import detect as detection
 from veilspark.operators.pool import lookup
+from veilspark.operators.stored import map_sorted
 
 # ---- fixed values: groups of a review screen ----
 GROUPS = {
@@ -107,12 +107,13 @@ def families(spans: DataFrame) -> DataFrame:
     form = F.lower(F.trim(F.col("text")))
     forms = spans.groupBy("session_id", "type", form.alias("form")).agg(F.count("*").alias("n"), F.min(F.struct("ord", "start")).alias("first"))
 
-    def group(data: pd.DataFrame) -> pd.DataFrame:
-        data = data.sort_values(["ord", "start", "form"])
-        return data[["session_id", "type", "form", "n"]].assign(root=family_roots(list(data.form)))
+    def group(rows: list[tuple]) -> list[tuple]:
+        """Of one session and type: (session_id, type, form, n) with the root of each."""
+        return [(*row, root) for row, root in zip(rows, family_roots([row[2] for row in rows]))]
 
     flat = forms.select("session_id", "type", "form", "n", "first.ord", "first.start")
-    return flat.groupBy("session_id", "type").applyInPandas(group, "session_id string, type string, form string, n long, root string")
+    dealt = flat.repartition("session_id", "type").sortWithinPartitions("session_id", "type", "ord", "start", "form").select("session_id", "type", "form", "n")
+    return map_sorted(dealt, 2, group, "session_id string, type string, form string, n long, root string")
 
 
 def segments(text: Column, spans: Column) -> Column:

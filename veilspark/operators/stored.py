@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +27,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/veilspark-{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def map_sorted(df: DataFrame, keys: int, function: Callable[[list[tuple]], list[tuple]], schema: str, batch: int = 8192) -> DataFrame:
+    """function of the rows of each group, where a partition holds whole groups one after another by the first `keys` columns.
+
+    Groups are read one at a time and written in batches: a frame for each would cost far more than a small group itself."""
+    kind = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+        rows, out = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))), []
+        for _, group in groupby(rows, key=lambda row: row[:keys]):
+            out += function(list(group))
+            while len(out) >= batch:
+                yield made(out[:batch])
+                out = out[batch:]
+        if out:
+            yield made(out)
+
+    return df.mapInArrow(run, kind)
